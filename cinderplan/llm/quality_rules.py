@@ -16,15 +16,19 @@ from pyspark.sql import functions as F
 from cinderplan.llm.common import SPACE, let, stored, words
 
 WINDOW = 8
+#: A word of letters, with inner hyphens or apostrophes, quotes around it and a mark after it.
+PLAIN = r"^[\"'(\u201c\u201e\u00ab\u00bf\u00a1]?\p{L}+(?:['\u2019-]\p{L}+)*[\"')\u201d\u00bb]?[.,;:!?]?[\"')\u201d\u00bb]?$"
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 ROUNDS = 30
-#: Pseudo-votes on each rule's accuracy, right and wrong.
-RIGHT, WRONG = 8.0, 2.0
-PRIOR = 0.8
+#: First guesses: share of good documents; a detector's and a two-sided rule's shares of bad votes, abstentions and good
+#: votes on good and on bad documents. They also count as STRENGTH votes in every round.
+PRIOR, STRENGTH = 0.9, 20.0
+DETECTOR = ((0.005, 0.985, 0.01), (0.2, 0.79, 0.01))
+TWO_SIDED = ((0.005, 0.295, 0.7), (0.3, 0.5, 0.2))
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MORE = ["n_lines", "n_distinct", "n_letters", "n_upper", "n_stops"]
+MORE = ["n_lines", "n_distinct", "n_letters", "n_upper", "n_stops", "n_plain"]
 OWN = [*BASE, *MORE, "votes", "base_failed", "posterior", "kept"]
 
 
@@ -67,26 +71,31 @@ def features(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("_c", r"\P{L}+", "")).cast("long").alias("n_letters"),
         F.length(F.regexp_replace("_c", r"\P{Lu}+", "")).cast("long").alias("n_upper"),
         end.cast("long").alias("n_stops"),
+        F.size(F.filter("_w", lambda w: w.rlike(PLAIN))).cast("long").alias("n_plain"),
     )
 
 
-def _vote(bad: Column, good: Column) -> Column:
+def _vote(bad: Column, good: Column | None = None) -> Column:
     """0 for bad, 2 for good, 1 to abstain."""
-    return F.when(bad, 0).when(good, 2).otherwise(1)
+    return F.when(bad, 0).when(F.lit(False) if good is None else good, 2).otherwise(1)
+
+
+#: Which rules can vote good.
+KINDS = [DETECTOR, DETECTOR, DETECTOR, DETECTOR, DETECTOR, TWO_SIDED, TWO_SIDED, TWO_SIDED]
 
 
 def rules() -> list[Column]:
-    """Each rule's vote: 0 bad, 1 abstains, 2 good. Integer arithmetic only, so that any engine gives the same votes."""
-    n, chars, symbols, dup, rep, lines, distinct, letters, upper, stops = (F.col(c) for c in [*BASE, *MORE])
+    """Each rule's vote, in the order of KINDS. Integer arithmetic only, so that any engine gives the same votes."""
+    n, chars, symbols, dup, rep, lines, distinct, letters, upper, stops, plain = (F.col(c) for c in [*BASE, *MORE])
     return [
-        _vote(n < 20, n >= 50),
-        _vote(symbols * 10 > chars, symbols * 50 < chars),
-        _vote(rep * 5 > n, (rep * 20 < n) & (n >= 20)),
-        _vote(dup * 3 > lines, (dup == 0) & (lines >= 2)),
-        _vote((letters >= 20) & (upper * 2 > letters), upper * 5 < letters),
-        _vote((n >= 20) & (distinct * 5 < n), distinct * 5 > n * 2),
-        _vote((chars > n * 15) | (chars < n * 2), (chars >= n * 3) & (chars <= n * 12)),
-        _vote((n >= 40) & (stops * 100 < n), (stops * 40 >= n) & (stops * 2 <= n)),
+        _vote(symbols * 10 > chars),
+        _vote(rep * 5 > n),
+        _vote(dup * 3 > lines),
+        _vote((letters >= 20) & (upper * 2 > letters)),
+        _vote((chars > n * 15) | (chars < n * 2)),
+        _vote((n >= 20) & (distinct * 5 < n), (n >= 20) & (distinct * 5 > n * 2)),
+        _vote((n >= 40) & ((stops * 100 < n) | (stops > n)), (n >= 20) & (stops * 40 >= n) & (stops * 3 <= n)),
+        _vote((n >= 20) & (plain * 10 < n * 6), (n >= 20) & (plain * 10 >= n * 9)),
     ]
 
 
@@ -97,23 +106,29 @@ def voted(docs: DataFrame) -> DataFrame:
     return features(docs).withColumns({"votes": votes.cast("int"), "base_failed": failed})
 
 
-def em_expression(n_rules: int, rounds: int = ROUNDS) -> str:
+def em_expression(kinds: list = KINDS, rounds: int = ROUNDS) -> str:
     """SQL for the posterior of each entry of ``pats``, an array of (votes, n) in order, after EM.
 
-    State: prior P(good); good[j] P(votes good | good, votes at all); bad[j] P(votes bad | bad, votes at all).
+    State: prior, the share of good documents, and for each rule and class the shares of its bad votes, abstentions and
+    good votes. A rule's accuracy on a class is what it votes rightly there; an abstention counts as its shares say.
     """
-    js = range(n_rules)
-    digit = {j: f"(p.votes div {3**j}) % 3" for j in js}
-    logit = "ln(s.prior / (1 - s.prior))" + "".join(f" + case {digit[j]} when 2 then ln(s.good[{j}] / (1 - s.bad[{j}])) when 0 then ln((1 - s.good[{j}]) / s.bad[{j}]) else 0D end" for j in js)
+    js = range(len(kinds))
+    digit = [f"((p.votes div {3**j}) % 3)" for j in js]
+    logit = "ln(s.prior / (1 - s.prior))" + "".join(f" + ln(s.good[{j}][{digit[j]}] / s.bad[{j}][{digit[j]}])" for j in js)
     post = f"transform(pats, p -> named_struct('votes', p.votes, 'n', p.n, 'q', 1 / (1 + exp(-({logit})))))"
 
     def total(value: str) -> str:
         return f"aggregate(x, 0D, (a, p) -> a + {value})"
 
-    good = ", ".join(f"({total(f'case when {digit[j]} = 2 then p.n * p.q else 0D end')} + {RIGHT}D) / ({total(f'case when {digit[j]} <> 1 then p.n * p.q else 0D end')} + {RIGHT + WRONG}D)" for j in js)
-    bad = ", ".join(f"({total(f'case when {digit[j]} = 0 then p.n * (1 - p.q) else 0D end')} + {RIGHT}D) / ({total(f'case when {digit[j]} <> 1 then p.n * (1 - p.q) else 0D end')} + {RIGHT + WRONG}D)" for j in js)
-    step = f"transform(array({post}), x -> named_struct('prior', ({total('p.n * p.q')} + 1D) / ({total('p.n')} + 2D), 'good', array({good}), 'bad', array({bad})))[0]"
-    first = f"named_struct('prior', {PRIOR}D, 'good', array_repeat({RIGHT / (RIGHT + WRONG)}D, {n_rules}), 'bad', array_repeat({RIGHT / (RIGHT + WRONG)}D, {n_rules}))"
+    def shares(of: str, which: int) -> str:
+        def one(j: int, v: int) -> str:
+            return f"({total(f'case when {digit[j]} = {v} then {of} else 0D end')} + {STRENGTH * kinds[j][which][v]!r}D) / ({total(of)} + {STRENGTH}D)"
+
+        return "array(" + ", ".join("array(" + ", ".join(one(j, v) for v in range(3)) + ")" for j in js) + ")"
+
+    step = f"transform(array({post}), x -> named_struct('prior', ({total('p.n * p.q')} + 1D) / ({total('p.n')} + 2D), 'good', {shares('p.n * p.q', 0)}, 'bad', {shares('p.n * (1 - p.q)', 1)}))[0]"
+    guess = lambda which: "array(" + ", ".join("array(" + ", ".join(f"{k[which][v]!r}D" for v in range(3)) + ")" for k in kinds) + ")"
+    first = f"named_struct('prior', {PRIOR}D, 'good', {guess(0)}, 'bad', {guess(1)})"
     return f"transform(array(aggregate(sequence(1, {rounds}), {first}, (s, i) -> {step})), s -> {post})[0]"
 
 
@@ -121,7 +136,7 @@ def posteriors(votes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(votes, posterior) for each pattern in ``votes``; at most 3 ** rules rows, whatever the size of the corpus."""
     counts = votes.groupBy("votes").agg(F.count("*").cast("double").alias("n"))
     one = counts.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("pats"))
-    fitted = one.select(F.explode(F.expr(em_expression(len(rules()), rounds))).alias("p"))
+    fitted = one.select(F.explode(F.expr(em_expression(KINDS, rounds))).alias("p"))
     return fitted.select(F.col("p.votes").alias("votes"), F.col("p.q").alias("posterior"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderplan.llm import chat, html_extract, license_scan, mixing, ngram_jaccard, packing, quality_lm, quality_rules, topk, warc
-from cinderplan.llm.common import table
+from cinderplan.llm.common import stored, table
 
 
 def tokenizer() -> str:
@@ -26,11 +26,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cinderplan.llm.common import stored
-
     v = stored(quality_rules.voted(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "voted")
     fitted = stored(quality_rules.posteriors(v.select("votes")), "votes")
-    return quality_rules.decided(v, fitted).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "votes", "posterior")
+    d = quality_rules.decided(v, fitted)
+    return d.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "votes", (F.floor(F.col("posterior") * 1e6 + 0.5) / 1e6).alias("posterior"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = mixing.planned(table(spark, sf_dir, "documents"))
-    return p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
