@@ -22,15 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderplan.llm.common import pieces, small, stored
 
 SYMBOLS, ORDER = 64, 4
 QUANTILE = 0.995
-#: How much further than from the median to the quantile a document may lie beyond the quantile.
-MARGIN = 0.5
+#: By how many times the distance from the median to the quantile a document may lie beyond the quantile.
+MARGIN = 1.0
 #: Characters of typical text that a document's mean is drawn towards, so that a few words aren't judged on noise.
 PSEUDO = 100
 TEXT_BYTES = 4 << 20
@@ -200,14 +200,20 @@ def scored(docs: DataFrame, shards: list[bytes]) -> DataFrame:
     return s.withColumn("perplexity", F.when(F.col("n_chars") > 0, F.exp(F.col("nll") / F.col("n_chars"))))
 
 
+def drawn(typical: Column) -> Column:
+    """nll a character, drawn towards the typical one."""
+    return (F.col("nll") + PSEUDO * typical) / (F.col("n_chars") + PSEUDO)
+
+
 def thresholds(known: DataFrame) -> DataFrame:
     """Per language (and, with every = true, for all): the typical nll a character and the highest that is kept."""
-    mean = F.sum("nll") / F.sum("n_chars")
-    each = F.percentile_approx(F.col("nll") / F.col("n_chars"), F.lit([0.5, QUANTILE]), F.lit(10_000))
-    top = lambda q: q[1] + MARGIN * (q[1] - q[0])
-    long = known.where("n_chars > 0")
-    by = long.groupBy("lang").agg(mean.alias("typical"), top(each).alias("most")).withColumn("every", F.lit(False))
-    return by.unionByName(long.agg(mean.alias("typical"), top(each).alias("most")).withColumns({"every": F.lit(True), "lang": F.lit(None).cast("string")}).where("typical is not null"))
+    text = known.where("n_chars > 0").select("lang", "n_chars", "nll")
+    both = text.withColumn("every", F.lit(False)).unionByName(text.withColumns({"every": F.lit(True), "lang": F.lit(None).cast("string")}))
+    typical = both.groupBy("every", "lang").agg((F.sum("nll") / F.sum("n_chars")).alias("typical"))
+    key = lambda d: d.withColumn("_k", F.concat_ws("|", F.col("every").cast("string"), "lang"))
+    each = key(both).drop("every", "lang").join(F.broadcast(key(typical)), "_k")  # a row a language
+    q = F.percentile_approx(drawn(F.col("typical")), F.lit([0.5, QUANTILE]), F.lit(10_000))
+    return each.groupBy("every", "lang", "typical").agg(q.alias("q")).select("every", "lang", "typical", (F.col("q")[1] + MARGIN * (F.col("q")[1] - F.col("q")[0])).alias("most"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -216,7 +222,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = model(counts(text.join(small(ids), "doc_id", "left_semi")))
     s = stored(scored(docs, shards), "scored")
-    limits = stored(thresholds(s.join(small(ids), "doc_id", "left_semi")), "limits").collect()  # a row a language of the trusted
+    limits = thresholds(s.join(small(ids), "doc_id", "left_semi")).collect()  # a row a language of the trusted
     return _limited(s, limits)
 
 
@@ -226,8 +232,7 @@ def _limited(s: DataFrame, limits: list) -> DataFrame:
     table = spark.createDataFrame([(r["lang"], r["typical"], r["most"]) for r in limits if not r["every"]], "_lang string, typical double, most double")
     j = s.join(small(table), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
     typical, most = F.coalesce("typical", F.lit(every[0]).cast("double")), F.coalesce("most", F.lit(every[1]).cast("double"))
-    drawn = (F.col("nll") + PSEUDO * typical) / (F.col("n_chars") + PSEUDO)
-    kept = (F.col("n_chars") > 0) & F.coalesce(drawn <= most, F.lit(True))
+    kept = (F.col("n_chars") > 0) & F.coalesce(drawn(typical) <= most, F.lit(True))
     return j.select("doc_id", "lang", "n_chars", "nll", "perplexity", F.exp(most).alias("threshold"), kept.alias("kept"))
 
 

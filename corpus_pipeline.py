@@ -6,30 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cinderplan.llm import mixing, ngram_jaccard, packing, quality_lm, quality_rules, registry
 from cinderplan.llm.common import new_folder, table
+from cinderplan.ship import ship
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised quality rules accept."""
+    ship(spark)
     return quality_rules.accepted(docs)
 
 
 def perplexity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text is within their language's threshold."""
+    ship(spark)
     return quality_lm.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
+    ship(spark)
     return ngram_jaccard.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's repetition rate says."""
+    ship(spark)
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents' token ids in sequences."""
+    ship(spark)
     return packing.packed(docs, registry.tokenizer())
 
 
