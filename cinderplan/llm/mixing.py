@@ -84,7 +84,7 @@ def mixed(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """The mix itself: every row of docs as often as its copies say, with its own columns."""
     sized = stored(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size")), "sized")
     p = plan(sized, seeds).select(F.col("source").alias("_s"), F.col("rate").alias("_rate"), F.col("seed").alias("_seed"))
-    d = docs.join(small(p), F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    n = copies(F.col("doc_id"), F.col("_rate"), F.col("_seed"))
-    d = d.withColumn("_n", n).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    return d.select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"))  # whatever its columns are called
+    d = rows.join(small(p), F.col("_source").eqNullSafe(F.col("_s")))
+    n = copies(F.col("_id"), F.col("_rate"), F.col("_seed")).cast("int")
+    return d.withColumn("_n", n).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")

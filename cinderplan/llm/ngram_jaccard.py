@@ -286,4 +286,5 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows with a null doc_id stay; rows that repeat a doc_id stay or go together.
     """
     gone = stored(similarity_classes(docs, **options).where("class_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    gone = gone.withColumnRenamed("doc_id", "_gone")
+    return docs.join(small(gone), docs["doc_id"] == gone["_gone"], "left_anti")

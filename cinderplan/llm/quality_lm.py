@@ -1,13 +1,14 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text; perplexity against quantiles.
 
 The model's symbols are ``SYMBOLS`` character classes (``symbol_table``: basic Latin letters one by one, other characters
-by kind), its order is 4. That bounds it whatever the corpus: at most 64 ** 4 n-grams, 64 MB of log-probabilities. A
+by kind), its order is 4. That bounds it whatever the corpus: at most 64 ** 4 n-grams, 32 MB of log-probabilities. A
 word model has no such bound, and joining every document's word n-grams with counts shuffles more than the text itself.
 
-1. All trusted text is counted: partial counts a task, summed by n-gram.
+1. All trusted text is counted, in two folds by hash of doc_id: partial counts a task, summed by n-gram.
 2. Counts are dealt by their leading symbols into ``SYMBOLS`` shards and joined there with context totals and the
    lower orders' probabilities (sharded count joins); a shard becomes a dense block of log-probabilities.
-3. Every document's perplexity is the mean over its characters, read off the shards. Documents aren't shuffled.
+3. Every document's perplexity is the mean over its characters, read off the shards of the fold that it is not in, so
+   that no document is judged by a model that has seen it. Documents aren't shuffled.
 4. Thresholds: a high quantile, per language, of the trusted documents' perplexities, widened by a margin.
 
 Defined results: null or empty text has no perplexity (null) and is not kept; a language without trusted documents (null
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cinderplan.llm.common import pieces, small, stored
 
-SYMBOLS, ORDER = 64, 4
+SYMBOLS, ORDER, FOLDS = 64, 4, 2
 QUANTILE = 0.995
 #: By how many times the distance from the median to the quantile a document may lie beyond the quantile.
 MARGIN = 1.0
@@ -94,28 +95,36 @@ def codes(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _counter():
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = symbol_table()
-        total = np.zeros(SYMBOLS**ORDER, np.int32)
+        total = np.zeros((FOLDS, SYMBOLS**ORDER), np.int32)
         for whole in batches:
             for batch in pieces(whole, "text", TEXT_BYTES):
-                code, _ = codes([t for t in batch.column("text").to_pylist() if t], table) if batch.num_rows else (np.empty(0, np.int32), None)
-                found, n = np.unique(code, return_counts=True)
-                total[found] += n.astype(np.int32)
-        found = np.flatnonzero(total)
-        for at in range(0, len(found), 100_000):
-            part = found[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(total[part].astype(np.int64))], names=["code", "n"])
+                texts, folds = batch.column("text").to_pylist(), batch.column("fold").to_pylist()
+                for fold in range(FOLDS):
+                    if own := [t for t, f in zip(texts, folds, strict=True) if t and f == fold]:
+                        found, n = np.unique(codes(own, table)[0], return_counts=True)
+                        total[fold, found] += n.astype(np.int32)
+        for fold in range(FOLDS):
+            found = np.flatnonzero(total[fold])
+            for at in range(0, len(found), 100_000):
+                part = found[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), fold, np.int32)), pa.array(part.astype(np.int64)), pa.array(total[fold, part].astype(np.int64))], names=["fold", "code", "n"])
 
     return count
 
 
+def fold() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """doc_ids labelled as of good quality and not toxic."""
     return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
 def counts(trusted: DataFrame) -> DataFrame:
-    """(code, n): how often each n-gram of symbols occurs in trusted(text)."""
-    return trusted.select(F.col("text").cast("string").alias("text")).where("text <> ''").mapInArrow(_counter(), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    """(fold, code, n): how often each n-gram of symbols occurs in trusted(doc_id, text)."""
+    d = trusted.select(F.col("text").cast("string").alias("text"), fold().alias("fold")).where("text <> ''")
+    return d.mapInArrow(_counter(), "fold int, code long, n long").groupBy("fold", "code").agg(F.sum("n").alias("n"))
 
 
 def discounts(n: np.ndarray) -> tuple[float, float, float]:
@@ -157,8 +166,7 @@ def lower_orders(c: DataFrame) -> np.ndarray:
 
 
 def model(c: DataFrame) -> list[bytes]:
-    """The shards, by leading symbol: float32 log-probabilities [64 ** 3] of each n-gram that begins with it."""
-    c = stored(c, "ngrams")
+    """The shards of one fold's counts (code, n), by leading symbol: float16 log-probabilities [64 ** 3] of each n-gram that begins with it."""
     p = lower_orders(c)
     seen = c.select(F.least("n", F.lit(5)).alias("n")).groupBy("n").count().collect()  # five rows
     d = discounts(np.repeat([r["n"] for r in seen], [min(r["count"], 10**7) for r in seen]) if seen else np.empty(0))
@@ -168,34 +176,34 @@ def model(c: DataFrame) -> list[bytes]:
         code = table.column("code").to_numpy() % width
         # within a shard the context is the leading symbol and two more; the lower order knows the latter and the symbol
         dense = smoothed(code, table.column("n").to_numpy(), p, d)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "logs": pa.array([np.log(dense).astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "logs": pa.array([np.log(dense).astype(np.float16).tobytes()], pa.binary())})
 
-    rows = c.withColumn("shard", F.floor(F.col("code") / width).cast("int")).groupBy("shard").applyInArrow(shard, "shard int, logs binary").collect()  # 64 MB at most
-    unseen = np.log(p).astype(np.float32).tobytes()
+    rows = c.withColumn("shard", F.floor(F.col("code") / width).cast("int")).groupBy("shard").applyInArrow(shard, "shard int, logs binary").collect()  # 32 MB at most
+    unseen = np.log(p).astype(np.float16).tobytes()
     got = {r["shard"]: bytes(r["logs"]) for r in rows}
     return [got.get(k, unseen) for k in range(SYMBOLS)]
 
 
 def _scorer(shards):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, logs = symbol_table(), np.frombuffer(b"".join(shards.value), np.float32)
+        table, logs = symbol_table(), np.frombuffer(b"".join(x for model in shards.value for x in model), np.float16)
         for whole in batches:
             for batch in pieces(whole, "text", TEXT_BYTES):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 code, lengths = codes(texts, table)
-                value = np.concatenate([logs[code].astype(np.float64), [0.0]])
+                other = FOLDS - 1 - np.asarray(batch.column("fold"), np.int64)
+                value = np.concatenate([logs[code + np.repeat(other, lengths) * SYMBOLS**ORDER].astype(np.float64), [0.0]])
                 ends = np.cumsum(lengths)
                 sums = np.where(lengths > 0, np.add.reduceat(value, np.minimum(ends - lengths, len(value) - 1)), 0.0)
-                rest = [batch.column(c) for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(lengths), pa.array(-sums)], names=[*(c for c in batch.schema.names if c != "text"), "n_chars", "nll"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(lengths), pa.array(-sums)], names=["doc_id", "lang", "n_chars", "nll"])
 
     return score
 
 
-def scored(docs: DataFrame, shards: list[bytes]) -> DataFrame:
-    """docs(doc_id, lang, text) with n_chars, nll (of the whole text) and perplexity instead of the text."""
+def scored(docs: DataFrame, shards: list[list[bytes]]) -> DataFrame:
+    """docs(doc_id, lang, text) with n_chars, nll (of the whole text) and perplexity instead of the text; shards: each fold's."""
     sent = docs.sparkSession.sparkContext.broadcast(shards)  # 64 MB, however large the corpus
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), fold().alias("fold"))
     s = d.mapInArrow(_scorer(sent), "doc_id long, lang string, n_chars long, nll double")
     return s.withColumn("perplexity", F.when(F.col("n_chars") > 0, F.exp(F.col("nll") / F.col("n_chars"))))
 
@@ -220,7 +228,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, lang, n_chars, nll, perplexity, threshold (a perplexity), kept."""
     ids = stored(trusted_ids(labels), "trusted")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = model(counts(text.join(small(ids), "doc_id", "left_semi")))
+    c = stored(counts(text.join(small(ids), "doc_id", "left_semi")), "ngrams")
+    shards = [model(c.where(F.col("fold") == k).select("code", "n")) for k in range(FOLDS)]
     s = stored(scored(docs, shards), "scored")
     limits = thresholds(s.join(small(ids), "doc_id", "left_semi")).collect()  # a row a language of the trusted
     return _limited(s, limits)
@@ -239,4 +248,5 @@ def _limited(s: DataFrame, limits: list) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept. Rows are judged by doc_id; rows with a null doc_id stay if they have text."""
     gone = stored(judged(docs, labels).where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").where("doc_id is not null or text <> ''").select(*docs.columns)
+    gone = gone.withColumnRenamed("doc_id", "_gone")
+    return docs.join(small(gone), docs["doc_id"] == gone["_gone"], "left_anti").where("doc_id is not null or text <> ''")

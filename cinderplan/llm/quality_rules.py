@@ -154,9 +154,5 @@ def annotated(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their own columns only."""
-    return _restored(docs, annotated)
-
-
-def _restored(docs: DataFrame, mark) -> DataFrame:
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text"))
-    return mark(packed).where("kept").select("_row.*")
+    packed = docs.select(F.struct("*").alias("_row"), F.col("text"))  # whatever its columns are called
+    return annotated(packed).where("kept").select("_row.*")
