@@ -231,14 +231,9 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     c = stored(counts(text.join(small(ids), "doc_id", "left_semi")), "ngrams")
     shards = [model(c.where(F.col("fold") == k).select("code", "n")) for k in range(FOLDS)]
     s = stored(scored(docs, shards), "scored")
-    limits = thresholds(s.join(small(ids), "doc_id", "left_semi")).collect()  # a row a language of the trusted
-    return _limited(s, limits)
-
-
-def _limited(s: DataFrame, limits: list) -> DataFrame:
-    spark = s.sparkSession
-    every = next(((r["typical"], r["most"]) for r in limits if r["every"]), (None, None))
-    table = spark.createDataFrame([(r["lang"], r["typical"], r["most"]) for r in limits if not r["every"]], "_lang string, typical double, most double")
+    limits = stored(thresholds(s.join(small(ids), "doc_id", "left_semi")), "limits")
+    every = limits.where("every").select("typical", "most").first() or (None, None)
+    table = limits.where("not every").select(F.col("lang").alias("_lang"), "typical", "most")
     j = s.join(small(table), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
     typical, most = F.coalesce("typical", F.lit(every[0]).cast("double")), F.coalesce("most", F.lit(every[1]).cast("double"))
     kept = (F.col("n_chars") > 0) & F.coalesce(drawn(typical) <= most, F.lit(True))

@@ -56,23 +56,26 @@ def repeat_words(found: Column, window: int = WINDOW) -> Column:
 def features(docs: DataFrame) -> DataFrame:
     """docs with the columns of BASE and MORE, all longs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keep = [c for c in docs.columns if c.lower() not in {x.lower() for x in OWN} | {"_w", "_l", "_c"}]
-    d = docs.select(*keep, words(text).alias("_w"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"), F.regexp_replace(text, SPACE + "+", "").alias("_c"))
-    end = F.length(F.regexp_replace("_c", r"[^.!?;:。]+", ""))
-    return d.select(
-        *keep,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length("_c").cast("long").alias("word_chars"),
-        (F.length("_c") - F.length(F.translate("_c", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_w")).alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-        F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
-        F.length(F.regexp_replace("_c", r"\P{L}+", "")).cast("long").alias("n_letters"),
-        F.length(F.regexp_replace("_c", r"\P{Lu}+", "")).cast("long").alias("n_upper"),
-        end.cast("long").alias("n_stops"),
-        F.size(F.filter("_w", lambda w: w.rlike(PLAIN))).cast("long").alias("n_plain"),
-    )
+    keep = [c for c in docs.columns if c.lower() not in {x.lower() for x in OWN} | {"_x", "_f"}]
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    # each step is exploded from an array of one: nothing is pushed below that, so no list is made again for each word
+    d = docs.select(*keep, F.explode(F.array(F.struct(words(text).alias("w"), lines.alias("l"), F.regexp_replace(text, SPACE + "+", "").alias("c")))).alias("_x"))
+    w, l, c = F.col("_x.w"), F.col("_x.l"), F.col("_x.c")  # noqa: E741
+    found = {
+        "n_words": F.size(w),
+        "word_chars": F.length(c),
+        "n_symbols": F.length(c) - F.length(F.translate(c, "#*$%&|<>", "")),
+        "n_dup_lines": F.size(l) - F.size(F.array_distinct(l)),
+        "n_repeat_words": let(w, repeat_words),
+        "n_lines": F.size(l),
+        "n_distinct": F.size(F.array_distinct(w)),
+        "n_letters": F.length(F.regexp_replace(c, r"\P{L}+", "")),
+        "n_upper": F.length(F.regexp_replace(c, r"\P{Lu}+", "")),
+        "n_stops": F.length(F.regexp_replace(c, r"[^.!?;:。]+", "")),
+        "n_plain": F.size(F.filter(w, lambda x: x.rlike(PLAIN))),
+    }
+    d = d.select(*keep, F.explode(F.array(F.struct(*(v.cast("long").alias(k) for k, v in found.items())))).alias("_f"))
+    return d.select(*keep, "_f.*")
 
 
 def _vote(bad: Column, good: Column | None = None) -> Column:
