@@ -192,19 +192,43 @@ FILLED = f"""WITH RECURSIVE {_walk(_SIDES)}, wall AS (SELECT DISTINCT id // 3 AS
 SELECT s AS s_suppkey, 1600 - count(*) AS n, 31200 - CAST(sum(r) AS BIGINT) AS sum_r, 31200 - CAST(sum(c) AS BIGINT) AS sum_c FROM out GROUP BY s"""
 
 
-def _utm() -> str:
-    n = geodesy
+IGNITIONS = FILLED.split("SELECT s AS s_suppkey")[0] + """, inner AS (SELECT DISTINCT g.r, g.c FROM (SELECT s_suppkey AS s, r, c FROM supplier, (SELECT unnest(range(40)) AS r), (SELECT unnest(range(40)) AS c)) g
+ WHERE NOT EXISTS (SELECT 1 FROM out o WHERE o.s = g.s AND o.r = g.r AND o.c = g.c) AND NOT EXISTS (SELECT 1 FROM wall w WHERE w.r = g.r AND w.c = g.c))
+SELECT 'queued' AS state, rz, r, c FROM (SELECT DISTINCT r, c FROM wall), (SELECT unnest(range(3)) AS rz) UNION ALL SELECT 'burned', -1, r, c FROM inner"""
+
+
+def ring(weights: list[float]) -> str:
+    half = len(weights) // 2
+    j = [f"((i + {k - half} + 40) % 40)" for k in range(len(weights))]
+    at = lambda x, start: f"v[CASE WHEN {x} < 20 THEN {x} + 1 ELSE 40 - {x} END + {start}]"
+    sums = [" + ".join(f"{w!r}::DOUBLE * {at(x, start)}" for w, x in zip(weights, j, strict=True)) for start in (0, 20)]
+    d = f"SELECT vec_id, i, {sums[0]} AS r, {sums[1]} AS c FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, unnest(range(20)) AS i FROM embeddings)"
+    return f"SELECT vec_id, CAST(i AS INTEGER) AS pos, {r6('CASE WHEN i = 19 THEN first_value(r) OVER p ELSE r END')} AS r, {r6('CASE WHEN i = 19 THEN first_value(c) OVER p ELSE c END')} AS c FROM ({d}) WINDOW p AS (PARTITION BY vec_id ORDER BY i)"
+
+
+def _forward(a: str, zone: str, keep: str) -> str:
+    """keep, e and n from rows with lat and lon."""
+    g = geodesy
     th = lambda x: f"(0.5 * ln((1 + {x}) / (1 - {x})))"
-    e = n.ECCENTRICITY
-    east = " + ".join(["eta", *(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(n.ALPHA, 1))])
-    north = " + ".join(["xi", *(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(n.ALPHA, 1))])
-    zone = "CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat >= 72 AND lat <= 84 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END ELSE CAST(floor((lon + 180) / 6) AS INTEGER) % 60 + 1 END"
-    a = "SELECT c_custkey, (c_custkey % 130 - 60)::DOUBLE AS lat, c_custkey % 359 - 179.5::DOUBLE AS lon FROM customer"
-    b = f"SELECT *, {zone} AS zone FROM ({a})"
-    k = f"SELECT *, sin(radians(lat)) AS s, radians(lon - (zone * 6 - 183)) AS lam FROM ({b})"
+    e = g.ECCENTRICITY
+    east = " + ".join(["eta", *(f"{v!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, v in enumerate(g.ALPHA, 1))])
+    north = " + ".join(["xi", *(f"{v!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, v in enumerate(g.ALPHA, 1))])
+    k = f"SELECT *, sin(radians(lat)) AS s, radians(lon - ({zone} * 6 - 183)) AS lam FROM ({a})"
     t = f"SELECT *, sinh({th('s')} - {e!r} * {th(f'({e!r} * s)')}) AS t FROM ({k})"
     x = f"SELECT *, atan2(t, cos(lam)) AS xi, {th('(sin(lam) / sqrt(1 + t * t))')} AS eta FROM ({t})"
-    f = f"SELECT c_custkey, zone, 500000.0 + {n.SCALE * n.RADIUS!r} * ({east}) AS e, {n.SCALE * n.RADIUS!r} * ({north}) + CASE WHEN lat < 0 THEN 10000000.0 ELSE 0.0 END AS n FROM ({x})"
+    return f"SELECT {keep}, 500000.0 + {g.SCALE * g.RADIUS!r} * ({east}) AS e, {g.SCALE * g.RADIUS!r} * ({north}) + CASE WHEN lat < 0 THEN 10000000.0 ELSE 0.0 END AS n FROM ({x})"
+
+
+def project_back(meta, to) -> str:
+    """Cells (r, c) of a longitude-latitude grid with the UTM cell (br, bc) of their middles."""
+    a = f"SELECT r, c, {to.north!r}::DOUBLE - (r + 0.5::DOUBLE) * {to.step_lat!r}::DOUBLE AS lat, {to.west!r}::DOUBLE + (c + 0.5::DOUBLE) * {to.step_lon!r}::DOUBLE AS lon FROM (SELECT unnest(range({to.rows})) AS r), (SELECT unnest(range({to.cols})) AS c)"
+    return f"SELECT r, c, CAST(floor(({meta.north} - n) / {meta.step_y}) AS BIGINT) AS br, CAST(floor((e - {meta.west}) / {meta.step_x}) AS BIGINT) AS bc FROM ({_forward(a, str(meta.zone), 'r, c')})"
+
+
+def _utm() -> str:
+    zone = "CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat >= 72 AND lat <= 84 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END ELSE CAST(floor((lon + 180) / 6) AS INTEGER) % 60 + 1 END"
+    a = "SELECT c_custkey, (c_custkey % 130 - 60)::DOUBLE AS lat, c_custkey % 359 - 179.5::DOUBLE AS lon FROM customer"
+    f = _forward(f"SELECT *, {zone} AS zone FROM ({a})", "zone", "c_custkey, zone")
     return f"SELECT c_custkey, zone, floor(e * 1000 + 0.5) / 1000 AS easting, floor(n * 1000 + 0.5) / 1000 AS northing, CAST(floor((10000000.0 - n) / 20) AS BIGINT) AS r, CAST(floor((e - 100000.0) / 20) AS BIGINT) AS c FROM ({f})"
 
 

@@ -29,6 +29,8 @@ from cinderplan.store import small, stored
 #: Rows of small dimension tables (conditions, overlays, heavy cells) that may be broadcast.
 BROADCAST = 200_000
 NEVER = 2**62
+#: Rounds of relaxation whose improvements are merged on the fly before arrivals are written anew.
+COMPACT = 6
 
 
 @dataclass
@@ -69,14 +71,13 @@ def trials(sources: DataFrame, e: DataFrame, bc: DataFrame, rules: Rules, moist:
     heavy_t10) says from when a cell cannot burn.
     """
     if heavy is not None:
-        h = small(heavy, BROADCAST)
-        sources = sources.join(h, ["r", "c"], "left").where("heavy_t10 is null or t10 < heavy_t10").drop("heavy_t10")
+        sources = sources.join(heavy, ["r", "c"], "left").where("heavy_t10 is null or t10 < heavy_t10").drop("heavy_t10")
     d = sources.join(e, ["r", "c"])
     b = F.broadcast(bc.select("bc_id", "from10", "to10", "w_dir", "w_speed", "moisture"))  # a job's conditions
     d = d.join(b, (F.col("t10") >= F.col("from10")) & (F.col("to10").isNull() | (F.col("t10") < F.col("to10")))).drop("from10", "to10")
     m = F.col("moisture") / 100
     if moist is not None:
-        d = d.join(small(moist.select("bc_id", F.col("r").alias("nr"), F.col("c").alias("nc"), "moist"), BROADCAST), ["bc_id", "nr", "nc"], "left")
+        d = d.join(moist.select("bc_id", F.col("r").alias("nr"), F.col("c").alias("nc"), "moist"), ["bc_id", "nr", "nc"], "left")
         m = F.coalesce("moist", m)
     key = lambda *tag: keyed.uniform(rules.seed, F.col("rz"), F.col("r"), F.col("c"), *tag)
     w_dir, w_speed = physics.wind_angle(F.col("w_dir")), F.col("w_speed")
@@ -91,7 +92,7 @@ def trials(sources: DataFrame, e: DataFrame, bc: DataFrame, rules: Rules, moist:
     fli = physics.fireline_intensity(F.col("d0"), F.col("d1"), F.col("ros"), physics.lhv_dead(F.col("hhv"), F.col("_m")), physics.lhv_canopy(F.col("hhv"), F.col("hum")))
     d = d.select("rz", "r", "c", "nr", "nc", "k", "dup", F.col("t10").alias("t_src"), (F.col("t10") + F.col("dt10")).alias("t_arr"), "ros", fli.alias("fli"), *(["bc_id"] if "bc_id" in d.columns else []))
     if heavy is not None:
-        h = small(heavy.select(F.col("r").alias("nr"), F.col("c").alias("nc"), "heavy_t10"), BROADCAST)
+        h = heavy.select(F.col("r").alias("nr"), F.col("c").alias("nc"), "heavy_t10")
         d = d.join(h, ["nr", "nc"], "left").where("heavy_t10 is null or t_arr < heavy_t10").drop("heavy_t10")
     return d.where(F.col("t_arr") <= rules.limit10)
 
@@ -116,14 +117,14 @@ def embers(sources: DataFrame, cells: DataFrame, bc: DataFrame, rules: Rules, ro
     s = s.where(ember("lands") < physics.ember_success(F.col("veg")))
     m = F.col("moisture") / 100
     if moist is not None:
-        s = s.join(small(moist.select("bc_id", F.col("r").alias("nr"), F.col("c").alias("nc"), "moist"), BROADCAST), ["bc_id", "nr", "nc"], "left")
+        s = s.join(moist.select("bc_id", F.col("r").alias("nr"), F.col("c").alias("nc"), "moist"), ["bc_id", "nr", "nc"], "left")
         m = F.coalesce("moist", m)
     zero, far = F.lit(0.0), F.lit(tables.CELL)  # flat, and as far as a cell side in cells
     ros = physics.ros_model(rules.ros_model)(F.col("v0"), zero, far, zero, m, F.col("_wd"), F.col("w_speed"))
     dt10 = physics.tenths(physics.travel_time(ros, far, zero))
     s = s.select("rz", "r", "c", "nr", "nc", (F.col("_e") + 7).alias("k"), "dup", F.col("t10").alias("t_src"), (F.col("t10") + dt10).alias("t_arr"), F.lit(None).cast("double").alias("ros"), F.lit(None).cast("double").alias("fli"), "bc_id")
     if heavy is not None:
-        h = small(heavy.select(F.col("r").alias("nr"), F.col("c").alias("nc"), "heavy_t10"), BROADCAST)
+        h = heavy.select(F.col("r").alias("nr"), F.col("c").alias("nc"), "heavy_t10")
         s = s.join(h, ["nr", "nc"], "left").where("heavy_t10 is null or t_arr < heavy_t10").drop("heavy_t10")
     return s.where(F.col("t_arr") <= rules.limit10)
 
@@ -159,7 +160,8 @@ def prepare(cells: DataFrame, bc: DataFrame, rules: Rules, rows: int, cols: int,
         cells = cells.join(burned.select("r", "c").distinct(), ["r", "c"], "left_anti")
     cells = stored(cells.select("r", "c", "veg", "dem"), "cells")
     held = intervals(bc.withColumn("time", F.rint(F.col("time") * 10).cast("long"))).withColumnsRenamed({"from_t": "from10", "to_t": "to10"})
-    return Field(cells, stored(edges(cells, rules).repartition("r", "c").sortWithinPartitions("r", "c"), "edges"), stored(held, "bc"), rules, rows, cols, moist, heavy)
+    sized = lambda d, name: None if d is None else small(stored(d, name), BROADCAST)
+    return Field(cells, stored(edges(cells, rules).repartition("r", "c").sortWithinPartitions("r", "c"), "edges"), stored(held, "bc"), rules, rows, cols, sized(moist, "moist"), sized(heavy, "heavy"))
 
 
 def seeds(contour: DataFrame, n: int, t10: int | Column = 0) -> DataFrame:
@@ -171,8 +173,9 @@ def by_epoch(field: Field, start: DataFrame) -> DataFrame:
     """ignitions(rz, r, c, t_burn)."""
     first = start.join(field.cells.where("veg > 0").select("r", "c"), ["r", "c"]).where(F.col("t10") <= field.rules.limit10)
     if field.heavy is not None:
-        first = first.join(small(field.heavy, BROADCAST), ["r", "c"], "left").where("heavy_t10 is null or t10 < heavy_t10")
+        first = first.join(field.heavy, ["r", "c"], "left").where("heavy_t10 is null or t10 < heavy_t10")
     known = stored(first.groupBy("rz", "r", "c").agg(F.min("t10").alias("t10")), "arrivals")
+    rounds = 0
     for since, until in field.epochs():
         within = (F.col("t10") >= since) & (F.col("t10") < until)
         front = known.where(within)
@@ -181,8 +184,11 @@ def by_epoch(field: Field, start: DataFrame) -> DataFrame:
             better = stored(found.join(known, ["rz", "r", "c"], "left").where("t10 is null or new < t10").select("rz", "r", "c", F.col("new").alias("t10")), "better")
             if better.isEmpty():
                 break
-            known = stored(known.unionByName(better).groupBy("rz", "r", "c").agg(F.min("t10").alias("t10")), "arrivals")
-            front = better.where(within)
+            known = known.unionByName(better).groupBy("rz", "r", "c").agg(F.min("t10").alias("t10"))
+            front, rounds = better.where(within), rounds + 1
+            if rounds % COMPACT == 0:
+                known = stored(known, "arrivals")
+        known = stored(known, "arrivals")
     return known.withColumnRenamed("t10", "t_burn")
 
 
@@ -200,7 +206,7 @@ def by_tick(field: Field, start: DataFrame, multiplicity: str = "first", oversho
             break
         bucket = queue.where(F.col("t10") == t).join(field.cells.where("veg > 0").select("r", "c"), ["r", "c"])
         if field.heavy is not None:
-            bucket = bucket.join(small(field.heavy, BROADCAST), ["r", "c"], "left").where("heavy_t10 is null or t10 < heavy_t10").drop("heavy_t10")
+            bucket = bucket.join(field.heavy, ["r", "c"], "left").where("heavy_t10 is null or t10 < heavy_t10").drop("heavy_t10")
         if burned is not None:
             bucket = bucket.join(burned.select("rz", "r", "c"), ["rz", "r", "c"], "left_anti")
         order = Window.partitionBy("rz", "r", "c").orderBy("t10")
@@ -225,7 +231,7 @@ def by_group(field: Field, start: DataFrame) -> DataFrame:
     rules = field.rules
     s = start.join(field.cells.where("veg > 0").select("r", "c"), ["r", "c"]).where(F.col("t10") <= rules.limit10)
     if field.heavy is not None:
-        s = s.join(small(field.heavy, BROADCAST), ["r", "c"], "left").where("heavy_t10 is null or t10 < heavy_t10").drop("heavy_t10")
+        s = s.join(field.heavy, ["r", "c"], "left").where("heavy_t10 is null or t10 < heavy_t10").drop("heavy_t10")
     when = field.bc.select(F.greatest(F.col("from10"), F.lit(0)).alias("t10"), F.col("to10").alias("_to"))
     everywhere = field.cells.where("veg > 0").select("r", "c")
     # every burnable cell as a source at the start of every condition: outcomes don't depend on when within it

@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderplan import oracle, tables
+from cinderplan import oracle, sinks, tables
 from cinderplan.functions import geodesy, keyed, literals, physics
-from cinderplan.operators import conditions, drawing, products, raster, schedule
+from cinderplan.operators import conditions, drawing, products, raster, reproject, schedule
 from cinderplan.plans import isochrones, spread
 from cinderplan.sources import grids, params
 from cinderplan.store import stored
@@ -603,6 +603,74 @@ def raster_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle.SQL["raster_consistency"] = "SELECT id, z = 32 AND abs(20.0 - s) / 20.0 <= 0.01 AND abs(w) + abs(40 * (s - 20.0)) + abs(w + 40 * (s - 20.0)) <= 40 AS same FROM (VALUES (0, 0, 20.0, 32), (1, 10, 20.0, 32), (2, 30, 20.0, 32), (3, 0, 20.1, 32), (4, 0, 21.0, 32), (5, 0, 20.0, 33)) v(id, w, s, z)"
 
 
+META = grids.GridMeta(456000.0, 4908800.0, 20.0, 20.0, 40, 40, 32)
+TARGET = reproject.LonLatGrid(8.4485, 44.3321, 0.00026, 0.00019, 40, 40)
+
+
+@query
+def reproject_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = reproject.reprojected(prob(spark, sf_dir), META, TARGET)
+    return d.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), r6(F.col("value")).alias("value"))
+
+
+oracle.SQL["reproject_nearest"] = f"SELECT g.r, g.c, {oracle.r6('p.value')} AS value FROM ({oracle.project_back(META, TARGET)}) g JOIN ({oracle.PROB}) p ON p.r = g.br AND p.c = g.bc"
+
+
+@query
+def utm_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forward and back again."""
+    d = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 70 + 5).cast("double").alias("lat"), (F.col("c_custkey") % 6 + 6.5).alias("lon"))
+    e, n = geodesy.forward(F.col("lat"), F.col("lon"), F.lit(32))
+    lat, lon = geodesy.inverse(e, n, F.lit(32))
+    return d.select("c_custkey", r6(lat).alias("lat"), r6(lon).alias("lon"))
+
+
+oracle.SQL["utm_inverse"] = f"SELECT c_custkey, {oracle.r6('(c_custkey % 70 + 5)::DOUBLE')} AS lat, {oracle.r6('c_custkey % 6 + 6.5::DOUBLE')} AS lon FROM customer"
+
+
+@query
+def product_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as written to rasters."""
+    d = _per_cell(spark, sf_dir).withColumn("p", F.col("ros") / 10)
+    return d.select("r", "c", "rz", sinks.scaled("probability", F.col("p")).alias("prob"), r6(sinks.scaled("ros_max", F.col("ros"))).alias("ros"))
+
+
+oracle.SQL["product_scaling"] = f"SELECT r, c, rz, CAST(trunc(max(ros) / 10 * 255) AS INTEGER) AS prob, {oracle.r6('max(ros) * 60')} AS ros FROM ({oracle.CELLS}) GROUP BY r, c, rz"
+
+
+@query
+def arrival_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minutes(spark, sf_dir).select("event_id", r6(physics.arrival(F.col("t"), F.col("value"))).alias("t"), physics.tenths(F.col("t")).alias("t10"))
+
+
+oracle.SQL["arrival_time"] = f"SELECT event_id, {oracle.r6('round_even((t + value) * 10, 0) / 10')} AS t, CAST(round_even(t * 10, 0) AS BIGINT) AS t10 FROM ({oracle.MINUTES})"
+
+
+@query
+def ring_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed rings keep their closure; their coordinates are convolved."""
+    v = F.col("embedding").cast("array<double>")
+    path = F.zip_with(F.slice(v, 1, 20), F.slice(v, 21, 20), lambda a, b: F.struct(a.alias("r"), b.alias("c")))
+    d = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(raster.smooth_ring(path, 0.8)).alias("pos", "p"))
+    return d.select("vec_id", "pos", r6(F.col("p.r")).alias("r"), r6(F.col("p.c")).alias("c"))
+
+
+oracle.SQL["ring_smoothing"] = oracle.ring(raster.gaussian_weights(0.8))
+
+
+@query
+def initial_ignitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygon contours are seeds in every realization; interiors are burned and do not spread."""
+    contour = drawing.cells_of(_polygons(spark, sf_dir), ["s_suppkey"], drawing.outline(F.col("path")), 40, 40)
+    ring = contour.select("r", "c").distinct()
+    queued = spread.seeds(ring, 3)
+    inner = drawing.filled(contour, ["s_suppkey"]).select("r", "c").distinct().join(ring, ["r", "c"], "left_anti")
+    return queued.select(F.lit("queued").alias("state"), "rz", "r", "c").unionByName(inner.select(F.lit("burned").alias("state"), F.lit(-1).alias("rz"), "r", "c"))
+
+
+oracle.SQL["initial_ignitions"] = oracle.IGNITIONS
+
+
 def _field(spark: SparkSession, sf_dir: str, rules: spread.Rules, side: int = 40) -> spread.Field:
     calm = spark.createDataFrame([(0, 0.0, 335.0, 9.0, 0.0), (1, 18.0, 0.0, 30.0, 5.0)], "bc_id int, time double, w_dir double, w_speed double, moisture double")
     return spread.prepare(grid(spark, sf_dir), calm, rules, side, side)
