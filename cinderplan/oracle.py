@@ -192,9 +192,9 @@ FILLED = f"""WITH RECURSIVE {_walk(_SIDES)}, wall AS (SELECT DISTINCT id // 3 AS
 SELECT s AS s_suppkey, 1600 - count(*) AS n, 31200 - CAST(sum(r) AS BIGINT) AS sum_r, 31200 - CAST(sum(c) AS BIGINT) AS sum_c FROM out GROUP BY s"""
 
 
-IGNITIONS = FILLED.split("SELECT s AS s_suppkey")[0] + """, inner AS (SELECT DISTINCT g.r, g.c FROM (SELECT s_suppkey AS s, r, c FROM supplier, (SELECT unnest(range(40)) AS r), (SELECT unnest(range(40)) AS c)) g
+IGNITIONS = FILLED.split("SELECT s AS s_suppkey")[0] + """, inside AS (SELECT DISTINCT g.r, g.c FROM (SELECT s_suppkey AS s, r, c FROM supplier, (SELECT unnest(range(40)) AS r), (SELECT unnest(range(40)) AS c)) g
  WHERE NOT EXISTS (SELECT 1 FROM out o WHERE o.s = g.s AND o.r = g.r AND o.c = g.c) AND NOT EXISTS (SELECT 1 FROM wall w WHERE w.r = g.r AND w.c = g.c))
-SELECT 'queued' AS state, rz, r, c FROM (SELECT DISTINCT r, c FROM wall), (SELECT unnest(range(3)) AS rz) UNION ALL SELECT 'burned', -1, r, c FROM inner"""
+SELECT 'queued' AS state, rz, r, c FROM (SELECT DISTINCT r, c FROM wall), (SELECT unnest(range(3)) AS rz) UNION ALL SELECT 'burned', -1, r, c FROM inside"""
 
 
 def ring(weights: list[float]) -> str:

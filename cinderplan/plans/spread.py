@@ -18,7 +18,8 @@ import math
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderplan import tables
@@ -148,6 +149,9 @@ class Field:
             d = d.unionByName(embers(sources, self.cells, self.bc, self.rules, self.rows, self.cols, self.moist, self.heavy))
         return d
 
+    def release(self) -> None:
+        self.edges.unpersist()
+
     def epochs(self) -> list[tuple[int, int]]:
         """Intervals of time within which all conditions are constant; there are as many as conditions."""
         t = sorted({0, *(max(0, r["from10"]) for r in self.bc.select("from10").collect())})
@@ -161,7 +165,9 @@ def prepare(cells: DataFrame, bc: DataFrame, rules: Rules, rows: int, cols: int,
     cells = stored(cells.select("r", "c", "veg", "dem"), "cells")
     held = intervals(bc.withColumn("time", F.rint(F.col("time") * 10).cast("long"))).withColumnsRenamed({"from_t": "from10", "to_t": "to10"})
     sized = lambda d, name: None if d is None else small(stored(d, name), BROADCAST)
-    return Field(cells, stored(edges(cells, rules).repartition("r", "c").sortWithinPartitions("r", "c"), "edges"), stored(held, "bc"), rules, rows, cols, sized(moist, "moist"), sized(heavy, "heavy"))
+    # dealt by source cell once: every round then shuffles its frontier only; what memory cannot hold goes to disk
+    static = stored(edges(cells, rules), "edges").repartition("r", "c").persist(StorageLevel.MEMORY_AND_DISK)
+    return Field(cells, static, stored(held, "bc"), rules, rows, cols, sized(moist, "moist"), sized(heavy, "heavy"))
 
 
 def seeds(contour: DataFrame, n: int, t10: int | Column = 0) -> DataFrame:
