@@ -155,11 +155,5 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def extra_columns(df: DataFrame, taken: set[str]) -> list[str]:
-    """Columns of df whose names do not clash, case aside, with ``taken``."""
-    low = {t.lower() for t in taken}
-    return [c for c in df.columns if c.lower() not in low]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
