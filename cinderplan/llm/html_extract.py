@@ -340,7 +340,7 @@ def synthetic_page(rng: random.Random) -> tuple[str, list[bool], str]:
     def boiler(kind: int) -> str:
         if kind == 0:
             t = tag("nav nav nav div ul")
-            return f"<{t}{names(0, 0.0 if t == 'div' else 0.6)}>{links(rng.randint(3, 9))}</{t}>"
+            return f"<{t}{names(0, 0.0 if t == 'div' else 0.6)}>{links(rng.choice([1, 2, 3, 4, 5, 6, 8]))}</{t}>"
         if kind == 1:
             t = tag("header header div")
             title = rng.choice([f"<h1>{word().capitalize()} {word()}</h1>", f"<a href='/'>{word()}</a>", f"<p>{sentence(3, 8)}</p>", f'<div class="logo">{word()}</div>'])
@@ -434,7 +434,7 @@ def synthetic_page(rng: random.Random) -> tuple[str, list[bool], str]:
     return html.replace("\x01", "").replace("\x02", ""), labels, "\n\n".join(texts)
 
 
-PAGES, SEED = 700, 7
+PAGES, SEED = 1000, 7
 
 
 @functools.cache
@@ -448,7 +448,7 @@ def trained(pages: int = PAGES, seed: int = SEED) -> boosting.Trees:
             xs.append(node_features(dom))
             ys.append(np.array(labels, float))
     x, y = np.concatenate(xs), np.concatenate(ys)
-    return boosting.fit(x, y, np.ones(len(y)), trees=50)
+    return boosting.fit(x, y, np.ones(len(y)), trees=60)
 
 
 def extract_all(pages: list[str | None], trees: boosting.Trees) -> list[str]:

@@ -283,7 +283,7 @@ def test_html_on_held_out_pages():
 
 def test_html_queries_and_oddities(spark):
     article = "".join(f"<p>This is paragraph number {k}, with some &lt;words&gt; in it &amp; a stop." for k in range(6))
-    pages = [None, "", "plain text", f"<html><body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Title</h1>{article}</article><footer>&copy; x</footer>", "<" * 5000, "<p>" * 3000, "<script>var a='<p>no</p>'</script>", "&#0;&#xD800;&bogus;", "<div" + ' a="' * 50]
+    pages = [None, "", "plain text", f"<html><body><nav><ul><li><a href=/>Home</a><li><a href=/a>About</a><li><a href=/b>Blog</a></ul></nav><article><h1>Title</h1>{article}</article><footer>&copy; x</footer>", "<" * 5000, "<p>" * 3000, "<script>var a='<p>no</p>'</script>", "&#0;&#xD800;&bogus;", "<div" + ' a="' * 50]
     d = spark.createDataFrame([(i, f"u{i}", h, "clash") for i, h in enumerate(pages)] + [(None, None, pages[3], "clash")], "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in html_extract.extracted(d).collect()}
     assert len(got) == len(pages) + 1 and got[0] == got[1] == got[6] == ""
