@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text; perplexity against quantiles.
 
 The model's symbols are ``SYMBOLS`` character classes (``symbol_table``: basic Latin letters one by one, other characters
-by kind), its order is 4. That bounds it whatever the corpus: at most 64 ** 4 n-grams, 32 MB of log-probabilities. A
+by kind), its order is 4. That bounds it whatever the corpus: at most 64 ** 4 n-grams, 16 MB of log-probabilities (a byte each, in twelfths of a nat). A
 word model has no such bound, and joining every document's word n-grams with counts shuffles more than the text itself.
 
 1. All trusted text is counted, in two folds by hash of doc_id: partial counts a task, summed by n-gram.
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from cinderplan.llm.common import pieces, small, stored
 
 SYMBOLS, ORDER, FOLDS = 64, 4, 2
+STEPS = 12.0
 QUANTILE = 0.995
 #: By how many times the distance from the median to the quantile a document may lie beyond the quantile.
 MARGIN = 1.0
@@ -95,19 +96,20 @@ def codes(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _counter():
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = symbol_table()
-        total = np.zeros((FOLDS, SYMBOLS**ORDER), np.int32)
+        total = [(np.empty(0, np.int32), np.empty(0, np.int64))] * FOLDS
         for whole in batches:
             for batch in pieces(whole, "text", TEXT_BYTES):
                 texts, folds = batch.column("text").to_pylist(), batch.column("fold").to_pylist()
                 for fold in range(FOLDS):
                     if own := [t for t, f in zip(texts, folds, strict=True) if t and f == fold]:
                         found, n = np.unique(codes(own, table)[0], return_counts=True)
-                        total[fold, found] += n.astype(np.int32)
+                        both, at = np.unique(np.concatenate([total[fold][0], found]), return_inverse=True)
+                        total[fold] = both, np.bincount(at, np.concatenate([total[fold][1], n])).astype(np.int64)
         for fold in range(FOLDS):
-            found = np.flatnonzero(total[fold])
+            found, n = total[fold]
             for at in range(0, len(found), 100_000):
-                part = found[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), fold, np.int32)), pa.array(part.astype(np.int64)), pa.array(total[fold, part].astype(np.int64))], names=["fold", "code", "n"])
+                part = found[at : at + 100_000].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), fold, np.int32)), pa.array(part), pa.array(n[at : at + 100_000])], names=["fold", "code", "n"])
 
     return count
 
@@ -165,8 +167,13 @@ def lower_orders(c: DataFrame) -> np.ndarray:
     return p
 
 
+def packed(p: np.ndarray) -> bytes:
+    """Probabilities as bytes: twelfths of a nat below 1, at most 255."""
+    return np.clip(np.rint(-STEPS * np.log(p)), 0, 255).astype(np.uint8).tobytes()
+
+
 def model(c: DataFrame) -> list[bytes]:
-    """The shards of one fold's counts (code, n), by leading symbol: float16 log-probabilities [64 ** 3] of each n-gram that begins with it."""
+    """The shards of one fold's counts (code, n), by leading symbol: log-probabilities [64 ** 3] (``packed``) of each n-gram that begins with it."""
     p = lower_orders(c)
     seen = c.select(F.least("n", F.lit(5)).alias("n")).groupBy("n").count().collect()  # five rows
     d = discounts(np.repeat([r["n"] for r in seen], [min(r["count"], 10**7) for r in seen]) if seen else np.empty(0))
@@ -176,23 +183,23 @@ def model(c: DataFrame) -> list[bytes]:
         code = table.column("code").to_numpy() % width
         # within a shard the context is the leading symbol and two more; the lower order knows the latter and the symbol
         dense = smoothed(code, table.column("n").to_numpy(), p, d)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "logs": pa.array([np.log(dense).astype(np.float16).tobytes()], pa.binary())})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "logs": pa.array([packed(dense)], pa.binary())})
 
-    rows = c.withColumn("shard", F.floor(F.col("code") / width).cast("int")).groupBy("shard").applyInArrow(shard, "shard int, logs binary").collect()  # 32 MB at most
-    unseen = np.log(p).astype(np.float16).tobytes()
+    rows = c.withColumn("shard", F.floor(F.col("code") / width).cast("int")).groupBy("shard").applyInArrow(shard, "shard int, logs binary").collect()  # 16 MB at most
+    unseen = packed(p)
     got = {r["shard"]: bytes(r["logs"]) for r in rows}
     return [got.get(k, unseen) for k in range(SYMBOLS)]
 
 
 def _scorer(shards):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, logs = symbol_table(), np.frombuffer(b"".join(x for model in shards.value for x in model), np.float16)
+        table, logs = symbol_table(), np.frombuffer(b"".join(x for model in shards.value for x in model), np.uint8)
         for whole in batches:
             for batch in pieces(whole, "text", TEXT_BYTES):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 code, lengths = codes(texts, table)
                 other = FOLDS - 1 - np.asarray(batch.column("fold"), np.int64)
-                value = np.concatenate([logs[code + np.repeat(other, lengths) * SYMBOLS**ORDER].astype(np.float64), [0.0]])
+                value = np.concatenate([logs[code + np.repeat(other, lengths) * SYMBOLS**ORDER] / -STEPS, [0.0]])
                 ends = np.cumsum(lengths)
                 sums = np.where(lengths > 0, np.add.reduceat(value, np.minimum(ends - lengths, len(value) - 1)), 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(lengths), pa.array(-sums)], names=["doc_id", "lang", "n_chars", "nll"])
@@ -202,7 +209,7 @@ def _scorer(shards):
 
 def scored(docs: DataFrame, shards: list[list[bytes]]) -> DataFrame:
     """docs(doc_id, lang, text) with n_chars, nll (of the whole text) and perplexity instead of the text; shards: each fold's."""
-    sent = docs.sparkSession.sparkContext.broadcast(shards)  # 64 MB, however large the corpus
+    sent = docs.sparkSession.sparkContext.broadcast(shards)  # 32 MB, however large the corpus
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), fold().alias("fold"))
     s = d.mapInArrow(_scorer(sent), "doc_id long, lang string, n_chars long, nll double")
     return s.withColumn("perplexity", F.when(F.col("n_chars") > 0, F.exp(F.col("nll") / F.col("n_chars"))))
