@@ -66,7 +66,7 @@ def features(docs: DataFrame) -> DataFrame:
         "word_chars": F.length(c),
         "n_symbols": F.length(c) - F.length(F.translate(c, "#*$%&|<>", "")),
         "n_dup_lines": F.size(l) - F.size(F.array_distinct(l)),
-        "n_repeat_words": let(w, repeat_words),
+        "n_repeat_words": repeat_words(w),
         "n_lines": F.size(l),
         "n_distinct": F.size(F.array_distinct(w)),
         "n_letters": F.length(F.regexp_replace(c, r"\P{L}+", "")),
