@@ -1,14 +1,15 @@
-"""Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text; perplexity against quantiles.
-
-The model's symbols are ``SYMBOLS`` character classes (``symbol_table``: basic Latin letters one by one, other characters
-by kind), its order is 4. That bounds it whatever the corpus: at most 64 ** 4 n-grams, 16 MB of log-probabilities (a byte each, in twelfths of a nat). A
-word model has no such bound, and joining every document's word n-grams with counts shuffles more than the text itself.
-
-1. All trusted text is counted, in two folds by hash of doc_id: partial counts a task, summed by n-gram.
-2. Counts are dealt by their leading symbols into ``SYMBOLS`` shards and joined there with context totals and the
-   lower orders' probabilities (sharded count joins); a shard becomes a dense block of log-probabilities.
-3. Every document's perplexity is the mean over its characters, read off the shards of the fold that it is not in, so
-   that no document is judged by a model that has seen it. Documents aren't shuffled.
+"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text's words; perplexity against quantiles.
+
+The model is of word trigrams, all of them, so that it grows with the corpus. Words it has not seen are spelled: the empty context's
+rest goes to a model of order 4 over ``SYMBOLS`` character classes (``symbol_table``: basic Latin letters one by one, other characters
+by kind), which is bounded: at most 64 ** 4 n-grams, 16 MB of log-probabilities (a byte each, in twelfths of a nat).
+
+1. All trusted text is counted, in two folds by hash of doc_id: partial counts a task, summed by n-gram. N-grams are 64-bit hashes.
+2. Word counts are joined with their contexts' totals and dealt by key into shards. Character counts are dealt by their leading
+   symbols into ``SYMBOLS`` shards; such a shard becomes a dense block of log-probabilities, which is broadcast.
+3. Documents are dealt into blocks, a block's distinct word n-grams are joined with the shards of the fold that each document is
+   not in, so that no document is judged by a model that has seen it, and the answers with the block. Perplexity is the mean over
+   the document's characters; white space is always spelled.
 4. Thresholds: a high quantile, per language, of the trusted documents' perplexities, widened by a margin.
 
 Defined results: null or empty text has no perplexity (null) and is not kept; a language without trusted documents (null
@@ -36,6 +37,8 @@ MARGIN = 1.0
 #: Characters of typical text that a document's mean is drawn towards, so that a few words aren't judged on noise.
 PSEUDO = 100
 TEXT_BYTES = 4 << 20
+#: Characters of text a block; there are as many shards of the word model as blocks.
+BLOCK_CHARS = 2_000_000
 
 
 def symbol_table() -> np.ndarray:
@@ -191,27 +194,165 @@ def model(c: DataFrame) -> list[bytes]:
     return [got.get(k, unseen) for k in range(SYMBOLS)]
 
 
-def _scorer(shards):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, logs = symbol_table(), np.frombuffer(b"".join(x for model in shards.value for x in model), np.uint8)
+def spread(x: np.ndarray) -> np.ndarray:
+    """Well mixed 64-bit hashes of uint64 values."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)  # 0 must not stay 0: it is the bound's key
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of pairs of keys; the lowest bit, the fold, is that of b."""
+    return (spread(a * np.uint64(0xD1342543DE82EF95) + spread(b)) & ~np.uint64(1)) | (b & np.uint64(1))
+
+
+def word_keys(texts: list[str], folds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of the texts: where it begins and ends in the joined text, its text's number, and its keys.
+
+    The keys are uint64 [5, words]: u v, v w and u v w (pairs), v and w, of the word w and the two before it. Words are runs without
+    ASCII white space; ideographs and what lies beyond begin words of their own. The lowest bit of a key is its fold.
+    """
+    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(lengths) - lengths
+    word = ~((cp == 32) | ((cp >= 9) & (cp <= 13)))
+    fresh = np.zeros(len(cp) + 1, bool)
+    fresh[0], fresh[first] = True, True
+    fresh = fresh[:-1] | (cp >= 0x2E80)
+    before = np.concatenate([[False], word[:-1]]) if len(cp) else word
+    begin = np.flatnonzero(word & (fresh | ~before))
+    doc = np.searchsorted(first, begin, "right") - 1
+    stop = ~word | fresh
+    after = np.concatenate([np.flatnonzero(stop), [len(cp)]])
+    end = after[np.searchsorted(after, begin, "right")]
+    # a word's polynomial hash from running sums, modulo 2 ** 64
+    base = 0x5851F42D4C957F2D
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(cp), base, np.uint64)]), dtype=np.uint64)
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(cp), pow(base, -1, 2**64), np.uint64)]), dtype=np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(spread(cp.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+    fold = folds.astype(np.uint64)[doc]
+    w = (spread((sums[end] - sums[begin]) * back[begin]) & ~np.uint64(1)) | fold
+    place = np.arange(len(begin)) - np.searchsorted(doc, doc, "left")
+    v = np.where(place > 0, np.roll(w, 1), fold)  # the bound's key is 0
+    u = np.where(place > 1, np.roll(w, 2), fold)
+    uv, vw = pair(u, v), pair(v, w)
+    return begin, end, doc, np.stack([uv, vw, pair(uv, vw), v, w])
+
+
+def _word_counter():
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", TEXT_BYTES):
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                code, lengths = codes(texts, table)
-                other = FOLDS - 1 - np.asarray(batch.column("fold"), np.int64)
-                value = np.concatenate([logs[code + np.repeat(other, lengths) * SYMBOLS**ORDER] / -STEPS, [0.0]])
-                ends = np.cumsum(lengths)
-                sums = np.where(lengths > 0, np.add.reduceat(value, np.minimum(ends - lengths, len(value) - 1)), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(lengths), pa.array(-sums)], names=["doc_id", "lang", "n_chars", "nll"])
+                *_, keys = word_keys(batch.column("text").to_pylist(), np.asarray(batch.column("fold"), np.int64))
+                _, at, n = np.unique(keys[2], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(k[at].view(np.int64)) for k in keys), pa.array(n.astype(np.int64))], names=["uv", "vw", "uvw", "v", "w", "n"])
+
+    return count
 
-    return score
 
+def word_model(trusted: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(key, own, rest) of every word n-gram up to order 3 in trusted(doc_id, text), and each fold's rest of the empty context.
 
-def scored(docs: DataFrame, shards: list[list[bytes]]) -> DataFrame:
-    """docs(doc_id, lang, text) with n_chars, nll (of the whole text) and perplexity instead of the text; shards: each fold's."""
+    own: an n-gram's discounted probability after its context; rest: what its continuations leave to the lower order.
+    p(w | u v) is own(uvw) + rest(uv) * (own(vw) + rest(v) * (own(w) + rest() * spelled(w))), where absent keys have own 0 and rest 1.
+    """
+    d = trusted.select(F.col("text").cast("string").alias("text"), fold().alias("fold")).where("text <> ''")
+    raw = d.mapInArrow(_word_counter(), "uv long, vw long, uvw long, v long, w long, n long")
+    three = stored(raw.groupBy("uvw").agg(*(F.first(c).alias(c) for c in ("uv", "vw", "v", "w")), F.sum("n").alias("n")), "trigrams")
+    two = stored(three.groupBy("vw").agg(F.first("v").alias("v"), F.first("w").alias("w"), F.count("*").alias("n")), "bigrams")
+    one = stored(two.groupBy("w").agg(F.count("*").alias("n")), "unigrams")
+
+    def cuts(t: DataFrame, key: str) -> tuple[list[tuple[float, float, float]], Column]:
+        """Each fold's discounts, and the discount of a row's count."""
+        seen = t.groupBy(F.col(key).bitwiseAND(1).alias("f"), F.least("n", F.lit(5)).alias("n")).count().collect()  # ten rows
+        d = [discounts(np.repeat([r["n"] for r in seen if r["f"] == f], [min(r["count"], 10**7) for r in seen if r["f"] == f])) for f in range(FOLDS)]
+        of = lambda k: F.when(F.col(key).bitwiseAND(1) == 0, d[0][k]).otherwise(d[1][k])
+        return d, F.when(F.col("n") == 1, of(0)).when(F.col("n") == 2, of(1)).otherwise(of(2))
+
+    parts = []
+    for t, key, context in ((three, "uvw", "uv"), (two, "vw", "v")):
+        t = t.select(F.col(key).alias("key"), F.col(context).alias("context"), "n", cuts(t, key)[1].alias("cut"))
+        total = t.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("rest"))
+        parts += [t.join(total, "context").select("key", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"), F.lit(1.0).alias("rest")), total.select(F.col("context").alias("key"), F.lit(0.0).alias("own"), "rest")]
+    t = one.select(F.col("w").alias("key"), "n", cuts(one, "w")[1].alias("cut"))
+    sums = {r["f"]: (r["n"], r["cut"]) for r in t.groupBy(F.col("key").bitwiseAND(1).alias("f")).agg(F.sum("n").alias("n"), F.sum("cut").alias("cut")).collect()}
+    total = F.when(F.col("key").bitwiseAND(1) == 0, F.lit(sums.get(0, (1, 1))[0])).otherwise(F.lit(sums.get(1, (1, 1))[0]))
+    parts.append(t.select("key", ((F.col("n") - F.col("cut")) / total).alias("own"), F.lit(1.0).alias("rest")))
+    table = parts[0]
+    for x in parts[1:]:
+        table = table.unionAll(x)
+    return table, np.array([sums[f][1] / sums[f][0] if f in sums else 1.0 for f in range(FOLDS)])
+
+
+def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """The shard of uint64 keys: ascending with the key."""
+    return ((keys >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
+
+
+def _asked(table: pa.Table) -> tuple[list[str], np.ndarray, tuple]:
+    """A block's texts, the fold that judges each, and its words' keys in that fold; rows in an order of their own."""
+    texts = [t or "" for t in table.column("text").to_pylist()]
+    other = FOLDS - 1 - table.column("fold").to_numpy().astype(np.int64)
+    return texts, other, word_keys(texts, other)
+
+
+def scored(docs: DataFrame, shards: list[list[bytes]], words: tuple[DataFrame, np.ndarray]) -> DataFrame:
+    """docs(doc_id, lang, text) with n_chars, nll (of the whole text) and perplexity instead of the text.
+
+    shards: each fold's spelling model; words: ``word_model``. Documents are dealt into blocks; a block asks each shard of the word
+    model for its distinct n-grams, and answers come back in the order of the keys asked for.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(shards)  # 32 MB, however large the corpus
+    table, empty = words
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), fold().alias("fold"))
-    s = d.mapInArrow(_scorer(sent), "doc_id long, lang string, n_chars long, nll double")
+    size = d.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    n = 1 + size // BLOCK_CHARS
+    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+
+    def ask(key: tuple, own: pa.Table) -> pa.Table:
+        keys = np.unique(_asked(own)[2][3])
+        cut = np.searchsorted(shard_of(keys, n), np.arange(n + 1))
+        some = np.flatnonzero(np.diff(cut))
+        return pa.table({"shard": pa.array(some, pa.int32()), "block": pa.array([key[0].as_py()] * len(some), pa.int32()), "keys": pa.array([keys[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())})
+
+    def answer(key: tuple, known: pa.Table, asked: pa.Table) -> pa.Table:
+        keys, at = np.unique(known.column("key").to_numpy().view(np.uint64), return_inverse=True)
+        own, rest = np.zeros(len(keys) + 1), np.ones(len(keys) + 1)
+        np.maximum.at(own, at, known.column("own").to_numpy())
+        np.minimum.at(rest, at, known.column("rest").to_numpy())
+        out = []
+        for x in asked.column("keys"):
+            wanted = np.frombuffer(x.as_py(), np.uint64)
+            place = np.searchsorted(keys, wanted)
+            found = place < len(keys)
+            found[found] = keys[place[found]] == wanted[found]
+            place = np.where(found, place, len(keys))
+            out.append(np.stack([own[place], rest[place]]).astype(np.float32).tobytes())
+        return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "values": pa.array(out, pa.binary())})
+
+    def judge(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
+        texts, other, (begin, end, doc, keys) = _asked(own)
+        parts = [np.frombuffer(x.as_py(), np.float32).reshape(2, -1) for x in answers.sort_by("shard").column("values")]
+        p, rest = np.concatenate([np.zeros((2, 0), np.float32), *parts], 1).astype(np.float64)
+        uv, vw, uvw, v, w = np.unique(keys, return_inverse=True)[1].reshape(5, -1)
+        logs = np.frombuffer(b"".join(x for model in sent.value for x in model), np.uint8)
+        code, lengths = codes(texts, symbol_table())
+        spelled = logs[code + np.repeat(other, lengths) * SYMBOLS**ORDER] / STEPS
+        sums = np.concatenate([[0.0], np.cumsum(spelled)])
+        with np.errstate(divide="ignore"):
+            known = np.log(p[uvw] + rest[uv] * (p[vw] + rest[v] * p[w]))
+            nll = -np.logaddexp(known, np.log(rest[uv] * rest[v] * empty[other][doc]) - (sums[end] - sums[begin]))
+        ends = np.cumsum(lengths)
+        spaces = sums[ends] - sums[ends - lengths] - np.bincount(doc, sums[end] - sums[begin], len(texts))
+        total = np.maximum(spaces, 0) + np.bincount(doc, nll, len(texts))
+        return pa.table({"doc_id": own.column("doc_id"), "lang": own.column("lang"), "n_chars": pa.array(lengths), "nll": pa.array(total)})
+
+    high = F.shiftrightunsigned("key", 40)  # as shard_of
+    known = table.withColumn("shard", F.shiftrightunsigned(high * F.lit(n), 24).cast("int"))
+    asked = d.select("block", "doc_id", "text", "fold").groupBy("block").applyInArrow(ask, "shard int, block int, keys binary")
+    answers = known.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "block int, shard int, values binary")
+    s = d.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, "doc_id long, lang string, n_chars long, nll double")
     return s.withColumn("perplexity", F.when(F.col("n_chars") > 0, F.exp(F.col("nll") / F.col("n_chars"))))
 
 
@@ -235,9 +376,10 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, lang, n_chars, nll, perplexity, threshold (a perplexity), kept."""
     ids = stored(trusted_ids(labels), "trusted")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    c = stored(counts(text.join(small(ids), "doc_id", "left_semi")), "ngrams")
+    trusted = text.join(small(ids), "doc_id", "left_semi")
+    c = stored(counts(trusted), "ngrams")
     shards = [model(c.where(F.col("fold") == k).select("code", "n")) for k in range(FOLDS)]
-    s = stored(scored(docs, shards), "scored")
+    s = stored(scored(docs, shards, word_model(trusted)), "scored")
     limits = stored(thresholds(s.join(small(ids), "doc_id", "left_semi")), "limits")
     every = limits.where("every").select("typical", "most").first() or (None, None)
     table = limits.where("not every").select(F.col("lang").alias("_lang"), "typical", "most")
