@@ -10,7 +10,9 @@ by kind), which is bounded: at most 64 ** 4 n-grams, 16 MB of log-probabilities
 3. Documents are dealt into blocks, a block's distinct word n-grams are joined with the shards of the fold that each document is
    not in, so that no document is judged by a model that has seen it, and the answers with the block. Perplexity is the mean over
    the document's characters; white space is always spelled.
-4. Thresholds: a high quantile, per language, of the trusted documents' perplexities, widened by a margin.
+4. Thresholds: a high quantile, per language, of the trusted documents' perplexities, widened by a margin. A language with fewer
+   than ``LEAST`` trusted documents, whose quantile says little, takes at least its median, or that of all if higher, plus the
+   spread that trusted documents have about their languages' medians.
 
 Defined results: null or empty text has no perplexity (null) and is not kept; a language without trusted documents (null
 included) takes the threshold of all; without any trusted document everything with text is kept; repeated rows are
@@ -34,6 +36,8 @@ STEPS = 12.0
 QUANTILE = 0.995
 #: By how many times the distance from the median to the quantile a document may lie beyond the quantile.
 MARGIN = 1.0
+#: Trusted documents with text below which a language's own quantile is not relied on alone.
+LEAST = 30
 #: Characters of typical text that a document's mean is drawn towards, so that a few words aren't judged on noise.
 PSEUDO = 100
 TEXT_BYTES = 4 << 20
@@ -362,14 +366,22 @@ def drawn(typical: Column) -> Column:
 
 
 def thresholds(known: DataFrame) -> DataFrame:
-    """Per language (and, with every = true, for all): the typical nll a character and the highest that is kept."""
+    """Per language (and, with every = true, for all): the typical nll a character, the median, the highest that is kept, and the number of documents."""
     text = known.where("n_chars > 0").select("lang", "n_chars", "nll")
     both = text.withColumn("every", F.lit(False)).unionByName(text.withColumns({"every": F.lit(True), "lang": F.lit(None).cast("string")}))
     typical = both.groupBy("every", "lang").agg((F.sum("nll") / F.sum("n_chars")).alias("typical"))
     key = lambda d: d.withColumn("_k", F.concat_ws("|", F.col("every").cast("string"), "lang"))
     each = key(both).drop("every", "lang").join(F.broadcast(key(typical)), "_k")  # a row a language
     q = F.percentile_approx(drawn(F.col("typical")), F.lit([0.5, QUANTILE]), F.lit(10_000))
-    return each.groupBy("every", "lang", "typical").agg(q.alias("q")).select("every", "lang", "typical", (F.col("q")[1] + MARGIN * (F.col("q")[1] - F.col("q")[0])).alias("most"))
+    most = F.col("q")[1] + MARGIN * (F.col("q")[1] - F.col("q")[0])
+    return each.groupBy("every", "lang", "typical").agg(q.alias("q"), F.count("*").alias("n")).select("every", "lang", "typical", F.col("q")[0].alias("middle"), most.alias("most"), "n")
+
+
+def pooled(known: DataFrame, limits: DataFrame) -> float | None:
+    """How far above its language's median a trusted document may lie: the quantile over all languages, widened."""
+    own = limits.where("not every").select(F.col("lang").alias("_lang"), "typical", "middle")
+    d = known.where("n_chars > 0").join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("_lang")))  # a row a language
+    return d.agg(F.percentile_approx(drawn(F.col("typical")) - F.col("middle"), QUANTILE, F.lit(10_000)) * (1 + MARGIN)).first()[0]
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -380,9 +392,11 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     c = stored(counts(trusted), "ngrams")
     shards = [model(c.where(F.col("fold") == k).select("code", "n")) for k in range(FOLDS)]
     s = stored(scored(docs, shards, word_model(trusted)), "scored")
-    limits = stored(thresholds(s.join(small(ids), "doc_id", "left_semi")), "limits")
-    every = limits.where("every").select("typical", "most").first() or (None, None)
-    table = limits.where("not every").select(F.col("lang").alias("_lang"), "typical", "most")
+    known = s.join(small(ids), "doc_id", "left_semi")
+    limits = stored(thresholds(known), "limits")
+    every = limits.where("every").select("typical", "most", "middle").first() or (None, None, None)
+    wide = F.greatest("most", F.greatest(F.col("middle"), F.lit(every[2]).cast("double")) + F.lit(pooled(known, limits)).cast("double"))
+    table = limits.where("not every").select(F.col("lang").alias("_lang"), "typical", F.when(F.col("n") < LEAST, wide).otherwise(F.col("most")).alias("most"))
     j = s.join(small(table), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
     typical, most = F.coalesce("typical", F.lit(every[0]).cast("double")), F.coalesce("most", F.lit(every[1]).cast("double"))
     kept = (F.col("n_chars") > 0) & F.coalesce(drawn(typical) <= most, F.lit(True))
