@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,18 +44,27 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of a byte-level BPE vocabulary file of the ``tokenizers`` library, special strings taken as ordinary text.
+    """Ids of a byte-level BPE vocabulary file of the ``tokenizers`` library.
+
+    special: the file's added tokens are cut out of texts first and give their own ids, as is the library's default;
+    otherwise they are ordinary text (the library's ``encode_special_tokens``).
 
     Texts are cut before each space that a non-space follows: such places are always boundaries of the vocabulary's
     own pre-tokens, so that the ids of the chunks are the ids of the text. Each distinct chunk of a batch is merged
     once, by tiktoken over the file's vocabulary, in which a token's id is its merge rank (checked on loading).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, added = file["model"], file.get("added_tokens") or [] if special else []
+        if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in added):
+            raise ValueError("the vocabulary's added tokens depend on what is around them")
+        self._added = {t["content"]: t["id"] for t in added}
+        # of those that begin at one place the longest is taken
+        self._cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self._added, key=len, reverse=True)) + ")") if added else None
         letters = _byte_letters()
         vocab = {k: v for k, v in model["vocab"].items() if all(c in letters for c in k)}
         ranks = {bytes(letters[c] for c in k): v for k, v in vocab.items()}
@@ -70,7 +80,10 @@ class Encoder:
         self._size = size  # bytes of each token
 
     def one(self, text: str) -> list[int]:
-        return self._bpe.encode_ordinary(text)
+        if self._cut is None:
+            return self._bpe.encode_ordinary(text)
+        # every second part is an added token
+        return [i for k, part in enumerate(self._cut.split(text)) for i in ([self._added[part]] if k % 2 else self._bpe.encode_ordinary(part))]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: none) as uint32, one text after the other, and where each begins (and the end)."""
@@ -86,16 +99,18 @@ class Encoder:
         plain = known.filter(pa.array(~odd))
         joined = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), " ")[0].as_py()
         joined = " " + joined if len(plain) else ""
-        ids = np.array(self.one(joined), np.uint32)
+        ids = np.array(self._bpe.encode_ordinary(joined), np.uint32)
         width = np.where(odd, 0, np.asarray(pa.compute.binary_length(known), np.int64) + 1)
         begin = np.searchsorted(np.cumsum(self._size[ids]) - self._size[ids], np.cumsum(width) - width)
         count = np.diff(begin, append=len(ids))
-        # the first part of a text has no space before it; a text with odd parts is taken whole
+        # the first part of a text has no space before it; a text with odd parts or added tokens is taken whole
         doc = np.repeat(np.arange(len(texts)), np.diff(first))
         whole = np.zeros(len(texts), bool)
         later = np.ones(len(code), bool)
         later[first[:-1]] = False
         whole[doc[odd[code] & later]] = True
+        for token in self._added:
+            whole |= np.asarray(pa.compute.match_substring(texts, token), bool)
         own = [self.one(texts[i].as_py() if w else known[c].as_py()) for i, (w, c) in enumerate(zip(whole.tolist(), code[first[:-1]].tolist(), strict=True))]
         own_size = np.array([len(x) for x in own], np.int64)
         own_begin = len(ids) + np.cumsum(own_size) - own_size
@@ -155,11 +170,11 @@ def assign(sizes: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int,
     return out
 
 
-def _packer(path: str, length: int, block_tokens: int):
+def _packer(path: str, length: int, block_tokens: int, special: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = Encoder(path, special)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
 
@@ -188,10 +203,10 @@ def _packer(path: str, length: int, block_tokens: int):
     return pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def packed(docs: DataFrame, path: str, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def packed(docs: DataFrame, path: str, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS, special: bool = False) -> DataFrame:
     """One row per piece of ``docs(doc_id, text, ...)``: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
-    path: a byte-level BPE vocabulary file, readable on every executor.
+    path: a byte-level BPE vocabulary file, readable on every executor; special: as for ``Encoder``.
     """
-    pack, schema = _packer(path, length, block_tokens)
+    pack, schema = _packer(path, length, block_tokens, special)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, schema)

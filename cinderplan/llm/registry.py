@@ -57,7 +57,7 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = packing.packed(table(spark, sf_dir, "documents"), tokenizer())
+    d = packing.packed(table(spark, sf_dir, "documents"), tokenizer(), special=True)
     return d.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -36,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents' token ids in sequences."""
     ship(spark)
-    return packing.packed(docs, registry.tokenizer())
+    return packing.packed(docs, registry.tokenizer(), special=True)
 
 
 STAGES = [
