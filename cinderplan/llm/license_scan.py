@@ -1,8 +1,11 @@
 """License scan: normalised text against licence templates by the Dice coefficient of word bigram sets.
 
-A unit is the whole text (line_no 0) or one of its lines (from 1). A template is compared only with units whose number
+A unit is the whole text (line_no 0), one of its lines (from 1), or a run of lines (line_no is that of its first). Runs are
+tried only in texts that hold enough of a template's bigrams, begin and end at lines that hold some, have at most
+``RUN_WORDS`` times as many words as the template may have bigrams, and contain no line that matches the template by itself; of
+overlapping runs the best is reported, and none if the whole text matches. A template is compared only with units whose number
 of distinct bigrams lies within the bounds that the threshold implies: Dice(A, B) >= t needs
-t / (2 - t) * |B| <= |A| <= (2 - t) / t * |B|. Built-in expressions only, no shuffle.
+t / (2 - t) * |B| <= |A| <= (2 - t) / t * |B|. Built-in expressions only; only runs at or above the threshold are shuffled.
 
 Defined results: null and empty texts, and units of fewer than two words, match nothing; every template at or above the
 threshold is reported, ties included; repeated rows are reported each.
@@ -15,7 +18,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinderplan.llm.common import let
+
 THRESHOLD_PERCENT = 80
+RUN_WORDS = 2
 
 # Licence notices and short licence texts, as published.
 TEMPLATES = {
@@ -60,6 +66,45 @@ def bigrams(text: Column) -> Column:
     return F.transform(F.array(w), lambda a: F.array_distinct(F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))))[0]
 
 
+def runs(docs: DataFrame, known: list[tuple[str, int, list[str]]], percent: int) -> DataFrame:
+    """Runs of two lines or more at or above the threshold: doc_id and the columns of OWN."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    strings = lambda b: F.array(*map(F.lit, b))
+    # A run's shared bigrams number at least this: they are no more than its own bigrams.
+    need = [-(-percent * len(b) // (200 - percent)) for _, _, b in known]
+    reach = F.array_intersect(bigrams(text), strings(sorted({x for _, _, b in known for x in b})))
+    d = docs.where(F.instr(text, "\n") > 0).select(F.monotonically_increasing_id().alias("_row"), "doc_id", text.alias("_text"), reach.alias("_u")).where(F.size("_u") >= min(need))
+    some = [F.when(F.size(F.array_intersect("_u", strings(b))) >= k, F.struct(F.lit(n).alias("license"), F.lit(v).alias("template_no"), strings(b).alias("b"))) for (n, v, b), k in zip(known, need, strict=True)]
+    d = d.select("_row", "doc_id", "_text", F.explode(F.filter(F.array(*some), lambda x: x.isNotNull())).alias("t"))
+
+    b, size = F.col("t.b"), F.size("t.b")
+    split = lambda x: F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda y: y != "")
+    shared = lambda g: F.size(F.array_intersect(g, b))
+    reached = lambda g: 200 * shared(g) >= percent * (F.size(g) + size)
+    grams = lambda w: bigrams(F.array_join(w, " "))
+    d = d.where(~let(bigrams(F.col("_text")), reached))
+    lines = F.transform(F.split("_text", "\n", -1), lambda x, k: F.struct((k + 1).alias("no"), split(x).alias("w")))
+    d = d.select("_row", "doc_id", "t", F.filter(lines, lambda x: F.size(x["w"]) > 0).alias("_l"))
+    # with the words before and after it
+    wide = lambda x, k: F.flatten(F.array(F.coalesce(F.slice(F.get("_l", k - 1)["w"], -1, 1), F.array().cast("array<string>")), x["w"], F.coalesce(F.slice(F.get("_l", k + 1)["w"], 1, 1), F.array().cast("array<string>"))))
+    marked = F.transform("_l", lambda x, k: F.struct(x["no"].alias("no"), x["w"].alias("w"), k.alias("k"), (shared(grams(wide(x, k))) > 0).alias("edge"), let(grams(x["w"]), reached).alias("alone")))
+    d = d.select("_row", "doc_id", "t", marked.alias("_l"))
+    d = d.select("_row", "doc_id", "t", "_l", F.explode(F.filter("_l", lambda x: x["edge"])).alias("_a"))
+    bound = RUN_WORDS * (F.floor(size * (200 - percent) / percent) + 1)  # a line has a word at least
+    d = d.select("_row", "doc_id", "t", "_a", F.slice("_l", F.col("_a.k") + 1, bound.cast("int")).alias("_l"))
+    ends = F.filter(F.transform("_l", lambda x, k: F.struct(k.alias("k"), x["edge"].alias("edge"))), lambda x: x["edge"] & (x["k"] > 0))
+    d = d.select("_row", "doc_id", "t", "_a", "_l", F.explode(ends).alias("_z")).select("_row", "doc_id", "t", "_a", F.col("_z.k").alias("_n"), F.slice("_l", 1, F.col("_z.k") + 1).alias("_l")).where(~F.exists("_l", lambda x: x["alone"]))
+    w = F.flatten(F.transform("_l", lambda x: x["w"]))
+    d = d.withColumn("_w", w).where(F.size("_w") <= bound).withColumn("_b", grams(F.col("_w")))
+    d = d.where(reached(F.col("_b")))
+    n, s = F.size("_b"), shared(F.col("_b"))
+    found = F.struct((-2 * s / (n + size)).alias("order"), F.col("_a.k").alias("i"), (F.col("_a.k") + F.col("_n")).alias("j"), F.col("_a.no").alias("line_no"), n.alias("n_bigrams"), s.alias("n_shared"))
+    g = d.groupBy("_row", "doc_id", "t.license", "t.template_no").agg(F.sort_array(F.collect_list(found)).alias("_f"))
+    none = F.slice("_f", 1, 0)
+    best = F.aggregate("_f", none, lambda kept, x: F.when(F.exists(kept, lambda y: (x["i"] <= y["j"]) & (y["i"] <= x["j"])), kept).otherwise(F.concat(kept, F.array(x))))
+    return g.select("doc_id", "license", "template_no", F.explode(best).alias("m")).select("doc_id", "m.line_no", "license", "template_no", "m.n_bigrams", "m.n_shared", (-F.col("m.order")).alias("dice"))
+
+
 def matches(docs: DataFrame, texts: dict[str, list[str]] = TEMPLATES, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """One row per (row of docs, unit, template) at or above the threshold: doc_id and the columns of OWN."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -76,4 +121,5 @@ def matches(docs: DataFrame, texts: dict[str, list[str]] = TEMPLATES, percent: i
         for n, k, b in known
     ]
     found = grams.select("doc_id", "line_no", size.alias("n_bigrams"), F.explode(F.filter(F.array(*tried), lambda x: x.isNotNull() & (200 * x["n_shared"] >= percent * (size + x["_t"])))).alias("m"))
-    return found.select("doc_id", "line_no", "m.license", "m.template_no", "n_bigrams", "m.n_shared", (2 * F.col("m.n_shared") / (F.col("n_bigrams") + F.col("m._t"))).alias("dice"))
+    single = found.select("doc_id", "line_no", "m.license", "m.template_no", "n_bigrams", "m.n_shared", (2 * F.col("m.n_shared") / (F.col("n_bigrams") + F.col("m._t"))).alias("dice"))
+    return single.unionByName(runs(docs, known, percent))
