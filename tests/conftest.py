@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -41,5 +42,5 @@ def duck():
 def rows(frame):
     """Rows as comparable tuples, columns by name."""
     names = sorted(frame.columns)
-    plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, (int, float)) or hasattr(v, "__float__") and not isinstance(v, str) else str(v)
+    plain = lambda v: None if pd.api.types.is_scalar(v) and pd.isna(v) else float(v) if isinstance(v, (int, float)) or hasattr(v, "__float__") and not isinstance(v, str) else str(v)
     return names, sorted((tuple(plain(v) for v in r) for r in frame[names].itertuples(index=False)), key=str)
