@@ -14,7 +14,6 @@ an empty table gives an empty one.
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -138,24 +137,17 @@ def assign(sizes: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int,
             rest.append((n % length, d))
     rest.sort(key=lambda x: (-x[0], x[1]))
     opened = -(-sum(n for n, _ in rest) // length)
-    used = [0] * opened
-    heap = [(0.0, k) for k in range(opened)]  # of least cost first; all have room for something
+    used, cost = np.zeros(opened, np.int64), np.zeros(opened)
     over: list[tuple[int, int]] = []
     for n, d in rest:
-        aside, placed = [], False
-        while heap and len(aside) < 64 and not placed:  # what has no room among the 64 cheapest is cut later
-            cost, k = heapq.heappop(heap)
-            if placed := used[k] + n <= length:
-                out.append((d, int(sizes[d]) - n, n, s + k, used[k]))
-                used[k] += n
-                if used[k] < length:
-                    heapq.heappush(heap, (cost + LINEAR * n + QUADRATIC * n * n, k))
-            else:
-                aside.append((cost, k))
-        for x in aside:
-            heapq.heappush(heap, x)
-        if not placed:
+        k = int(np.where(used <= length - n, cost, np.inf).argmin())  # of all with room the one of least cost
+        if used[k] > length - n:
             over.append((n, d))
+            continue
+        out.append((d, int(sizes[d]) - n, n, s + k, int(used[k])))
+        used[k] += n
+        cost[k] += LINEAR * n + QUADRATIC * n * n
+    used = used.tolist()
     room = sorted((k for k in range(opened) if used[k] < length), key=lambda k: (used[k], k))
     for n, d in over:
         at = int(sizes[d]) - n
