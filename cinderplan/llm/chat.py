@@ -10,7 +10,8 @@ is a bijection, so that the second round always is). Built-in expressions only.
 
 Defined results: null role and null text count as empty; turns are ordered by turn (null first), then role, then text;
 repeated rows stay repeated turns; rows with a null conv_id form one conversation; a conversation is one value by
-nature (its digest needs the whole of it), so that it is the unit of memory.
+nature (its digest needs the whole of it), so that it is the unit of memory. Folds over turns go in runs of the square
+root of their number, so that a conversation of very many turns isn't quadratic.
 """
 
 from __future__ import annotations
@@ -86,30 +87,61 @@ def formatted(rows: DataFrame) -> DataFrame:
     return d.select("conv_id", "formatted", (~F.col("_same")).alias("escaped"), "round_trip", loss_spans(F.col("formatted")).alias("loss_spans"))
 
 
-def loss_spans(formatted: Column) -> Column:
-    """(start, end) in code points of each assistant text in a rendered conversation, by the parser's own segments.
+def chunked(items: Column) -> Column:
+    """An array cut into about as many runs as a run has entries: array of (first, items), so that no fold is quadratic."""
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
 
-    Offsets are running sums of segment lengths, kept as an array of lengths folded once.
-    """
+    def cut(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), w), lambda k: k <= F.size(items))
+        return F.transform(starts, lambda k: F.slice(items, k, w))
+
+    return let(width, cut)
+
+
+def running(lengths: Column) -> Column:
+    """The sum of the lengths before each entry of an array of ints."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, n: s + n)
+
+    def before(first: Column, x: Column) -> Column:
+        state = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(x, state, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+
+    each = lambda runs: let(before(F.lit(0), F.transform(runs, total)), lambda first: F.flatten(F.zip_with(first, runs, before)))
+    return let(chunked(lengths), each)
+
+
+def loss_spans(formatted: Column) -> Column:
+    """The loss mask: (start, end) in code points of each assistant text in a rendered conversation, by the parser's own segments."""
     tail = len(END) + 1
 
     def spans(seg: Column) -> Column:
-        # the state holds the sum so far and the spans so far; only assistant turns add one
-        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+        sizes = F.transform(seg, lambda x: F.length(x) + len(START))
 
-        def step(s: Column, x: Column) -> Column:
-            begin = s["at"] + len(START) + F.instr(x, "\n")
-            end = s["at"] + len(START) + F.length(x) - tail
+        def one(x: Column, at: Column) -> Column:
             mine = unescape_role(F.substring_index(x, "\n", 1)) == LEARNT
-            return F.struct((s["at"] + len(START) + F.length(x)).alias("at"), F.when(mine, F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(s["out"]).alias("out"))
+            return F.when(mine, F.struct((at + len(START) + F.instr(x, "\n")).alias("start"), (at + len(START) + F.length(x) - tail).alias("end")))
 
-        return F.aggregate(seg, first, step)["out"]
+        return F.filter(F.zip_with(seg, running(sizes), one), lambda x: x.isNotNull())
 
     return let(_segments(formatted), spans)
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The text of ``formatted`` within the spans, each unescaped, one after the other.
+
+    Spans are cut out in runs, each run out of its own part of the text, as a cut counts code points from the beginning.
+    """
+    cut = lambda text, a, b: F.substring(text, a + 1, b - a)
+
+    def run(x: Column) -> Column:
+        first = F.element_at(x, 1)["start"]
+        part = cut(formatted, first, F.element_at(x, -1)["end"])
+        return let(part, lambda p: F.array_join(F.transform(x, lambda s: unescape(cut(p, s["start"] - first, s["end"] - first))), ""))
+
+    return F.array_join(F.transform(chunked(spans), run), "")
+
+
 def read_back(formatted_rows: DataFrame) -> DataFrame:
-    """What a trainer gets from formatted: conv_id, turns, loss_text (assistant texts in order, unescaped), formatted."""
+    """What a trainer gets from formatted and its loss mask: conv_id, turns, loss_text (all text under the mask, unescaped), formatted."""
     d = formatted_rows.withColumn("turns", parse(F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNT), lambda t: t["text"]), "")
-    return d.withColumn("loss_text", loss)
+    return d.withColumn("loss_text", under_mask(F.col("formatted"), F.col("loss_spans")))
