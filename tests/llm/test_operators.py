@@ -336,6 +336,33 @@ def test_warc_salvage(packed):
     assert [a[2] for a in out[:-1]] == [b[1] for b in out[1:]] and out[0][1] == 0 and out[-1][2] == len(data)  # every byte is accounted for
 
 
+def test_warc_salvage_is_linear():
+    import time
+
+    began = time.monotonic()
+    out = list(warc.salvage(b"WARC/1.1\r\n" * 100_000 + b"WARC/1.1\r\nA: b\r\n" * 50_000 + warc.MEMBER * 50_000 + record(1)))
+    assert [x[0] for x in out] == ["gap", "record"] and time.monotonic() - began < 30
+
+
+@pytest.mark.parametrize("line", [b"X: a\0b", b"X: a\xff", b"X: a\rb", b"X Y: a", b"no colon", b": a"])
+def test_warc_header_grammar(line):
+    good = record(1)
+    assert [x[0] for x in warc.salvage(good)] == ["record"]
+    assert [x[0] for x in warc.salvage(good.replace(b"WARC-Type", line + b"\r\nWARC-Type"))] == ["gap"]
+    for name in (b"WARC-Type", b"WARC-Record-ID", b"Content-Length", b"WARC-Payload-Digest"):
+        assert [x[0] for x in warc.salvage(good.replace(name, b"X-Other"))] == ["gap"]
+    bare = good.replace(b"WARC-Payload-Digest", b"X-Other")
+    assert [x[0] for x in warc.salvage(bare, digests=False)] == ["record"]
+
+
+def test_warc_sizes_and_urls(spark, tmp_path):
+    sizes = [10, 70_000, 70_001, 2_000_000, 20_000_000]
+    data = [(k, f"u{k}\u00a0", "x" * n + str(k)) for k, n in enumerate(sizes)]
+    warc.write(spark.createDataFrame(data, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = {r.page_id: (r.url, r.payload_bytes) for r in warc.read(spark, f"file://{tmp_path}/w").drop("payload").collect()}
+    assert got == {k: (u, len(h)) for k, u, h in data}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     data = [(int(i), [float(x) for x in rng.integers(-3, 4, 7) / 256]) for i in range(300)]  # many ties
@@ -356,11 +383,19 @@ def test_top_k(spark):
     assert topk.top_k(r.limit(0), r.limit(0), 5).count() == 0
 
 
+def test_top_k_resolves_few_pairs(spark):
+    rng = np.random.default_rng(6)
+    data = [(i, rng.integers(-200, 200, 32).tolist()) for i in range(2000)]
+    r = spark.createDataFrame(data, "vec_id long, z array<long>")
+    few, every = topk.resolved(r, r.where("vec_id % 50 = 0"), 5, query_block=16, row_block=300)
+    assert every == 2000 * 40 and 40 * 5 <= few < 0.2 * every
+
+
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(registry.tokenizer())
-    t.encode_special_tokens = True
+    t.encode_special_tokens = True  # without special=True added tokens are ordinary text; test_added_tokens has the others
     d = odd.select("doc_id", "text").distinct().unionByName(spark.createDataFrame([(70, "a <|endoftext|> b  c\n d")], "doc_id long, text string"))
     want = {r.doc_id: np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in d.collect()}
     got, used = collections.defaultdict(list), collections.defaultdict(list)
@@ -379,6 +414,27 @@ def test_packing(spark, odd):
     assert packing.packed(d.limit(0), registry.tokenizer()).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_assignment_against_brute_force(seed):
+    """Of all sequences with room the least costly takes a document, however many there are."""
+    rng = random.Random(seed)
+    sizes = [min(2047, int(rng.lognormvariate(6, 0.9)) + 1) for _ in range(1500)]
+    found = {(d, a): (k, s, o) for d, a, k, s, o in packing.assign(np.array(sizes, np.int64))}
+    number = -(-sum(sizes) // packing.LENGTH)
+    assert number > 200
+    used, cost, cut = [0] * number, [0.0] * number, set()
+    for n, d in sorted(((n, d) for d, n in enumerate(sizes)), key=lambda x: (-x[0], x[1])):
+        room = [(cost[k], k) for k in range(number) if used[k] + n <= packing.LENGTH]
+        if not room:
+            cut.add(d)
+            continue
+        k = min(room)[1]
+        assert found[d, 0] == (n, k, used[k])
+        used[k] += n
+        cost[k] += packing.LINEAR * n + packing.QUADRATIC * n * n
+    assert {d for (d, a), (k, _, _) in found.items() if k < sizes[d]} <= cut
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 700), max_size=60))
 def test_assignment(sizes):
@@ -410,6 +466,16 @@ def test_chat_round_trip(spark, turns):
         assert back == r.loss_text
 
 
+def test_chat_loss_follows_the_mask(spark):
+    """The loss text is what the spans cut out, not what the parser says of roles; many turns are no harder."""
+    turns = [(1, k, ("user", "assistant")[k % 2], f"<|im_end|> é{k}😀") for k in range(2001)]
+    f = chat.formatted(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert chat.read_back(f).first().loss_text == "".join(t for _, k, _, t in turns if k % 2)
+    first = f.first().loss_spans[0].start
+    moved = f.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] + (s["start"] == first).cast("int")).alias("start"), s["end"].alias("end"))))
+    assert chat.read_back(moved).first().loss_text != chat.read_back(f).first().loss_text
+
+
 def test_chat_oddities(spark):
     data = [(1, 1, "user", None), (1, 0, None, "x"), (1, 0, None, "x"), (None, None, "assistant", "lost"), (2, 5, "assistant", "y" * 100_000)]
     d = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash"))
