@@ -199,11 +199,11 @@ SELECT 'queued' AS state, rz, r, c FROM (SELECT DISTINCT r, c FROM wall), (SELEC
 
 def ring(weights: list[float]) -> str:
     half = len(weights) // 2
-    j = [f"((i + {k - half} + 40) % 40)" for k in range(len(weights))]
-    at = lambda x, start: f"v[CASE WHEN {x} < 20 THEN {x} + 1 ELSE 40 - {x} END + {start}]"
-    sums = [" + ".join(f"{w!r}::DOUBLE * {at(x, start)}" for w, x in zip(weights, j, strict=True)) for start in (0, 20)]
-    d = f"SELECT vec_id, i, {sums[0]} AS r, {sums[1]} AS c FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, unnest(range(20)) AS i FROM embeddings)"
-    return f"SELECT vec_id, CAST(i AS INTEGER) AS pos, {r6('CASE WHEN i = 19 THEN first_value(r) OVER p ELSE r END')} AS r, {r6('CASE WHEN i = 19 THEN first_value(c) OVER p ELSE c END')} AS c FROM ({d}) WINDOW p AS (PARTITION BY vec_id ORDER BY i)"
+    j = [f"((i + {k - half} + 2 * h) % (2 * h))" for k in range(len(weights))]
+    at = lambda x, start: f"v[CASE WHEN {x} < h THEN {x} + 1 ELSE 2 * h - {x} END + {start}]"
+    sums = [" + ".join(f"{w!r}::DOUBLE * {at(x, start)}" for w, x in zip(weights, j, strict=True)) for start in ("0", "h")]
+    d = f"SELECT vec_id, i, h, {sums[0]} AS r, {sums[1]} AS c FROM (SELECT *, unnest(range(h)) AS i FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, len(embedding) // 2 AS h FROM embeddings))"
+    return f"SELECT vec_id, CAST(i AS INTEGER) AS pos, {r6('CASE WHEN i = h - 1 THEN first_value(r) OVER p ELSE r END')} AS r, {r6('CASE WHEN i = h - 1 THEN first_value(c) OVER p ELSE c END')} AS c FROM ({d}) WINDOW p AS (PARTITION BY vec_id ORDER BY i)"
 
 
 def _forward(a: str, zone: str, keep: str) -> str:

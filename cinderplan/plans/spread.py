@@ -163,7 +163,7 @@ def prepare(cells: DataFrame, bc: DataFrame, rules: Rules, rows: int, cols: int,
     if burned is not None:
         cells = cells.join(burned.select("r", "c").distinct(), ["r", "c"], "left_anti")
     cells = stored(cells.select("r", "c", "veg", "dem"), "cells")
-    held = intervals(bc.withColumn("time", F.rint(F.col("time") * 10).cast("long"))).withColumnsRenamed({"from_t": "from10", "to_t": "to10"})
+    held = intervals(bc.withColumn("time", F.rint(F.col("time") * 10).cast("long")), few=True).withColumnsRenamed({"from_t": "from10", "to_t": "to10"})
     sized = lambda d, name: None if d is None else small(stored(d, name), BROADCAST)
     # dealt by source cell once: every round then shuffles its frontier only; what memory cannot hold goes to disk
     static = stored(edges(cells, rules), "edges").repartition("r", "c").persist(StorageLevel.MEMORY_AND_DISK)

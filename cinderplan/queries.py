@@ -379,11 +379,11 @@ oracle.SQL["snapshot_cumulative"] = f"SELECT s10, count(*) AS n, count(DISTINCT
 
 @query
 def bc_sort_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = params.sort_and_pad(bc(spark, sf_dir).where("bc_id < 2000").withColumnRenamed("bc_id", "pos").select("pos", "time", "w_speed", F.col("w_dir").cast("double")))
+    d = params.sort_and_pad(bc(spark, sf_dir).withColumnRenamed("bc_id", "pos").select("pos", "time", "w_speed", F.col("w_dir").cast("double")))
     return d.select(F.col("bc_id").cast("long").alias("bc_id"), r6(F.col("time")).alias("time"), r6(F.col("w_speed")).alias("w_speed"), "w_dir")
 
 
-oracle.SQL["bc_sort_pad"] = f"WITH b AS (SELECT bc_id AS pos, time, w_speed, CAST(w_dir AS DOUBLE) AS w_dir FROM ({oracle.BC}) WHERE bc_id < 2000) SELECT row_number() OVER (ORDER BY time, pos) - 1 AS bc_id, {oracle.r6('time')} AS time, {oracle.r6('w_speed')} AS w_speed, w_dir FROM (SELECT * FROM b UNION ALL SELECT -1, 0.0, 0.0, 0.0 WHERE (SELECT min(time) FROM b) > 0)"
+oracle.SQL["bc_sort_pad"] = f"WITH b AS (SELECT bc_id AS pos, time, w_speed, CAST(w_dir AS DOUBLE) AS w_dir FROM ({oracle.BC})) SELECT row_number() OVER (ORDER BY time, pos) - 1 AS bc_id, {oracle.r6('time')} AS time, {oracle.r6('w_speed')} AS w_speed, w_dir FROM (SELECT * FROM b UNION ALL SELECT -1, 0.0, 0.0, 0.0 WHERE (SELECT min(time) FROM b) > 0)"
 
 
 @query
@@ -650,7 +650,8 @@ oracle.SQL["arrival_time"] = f"SELECT event_id, {oracle.r6('round_even((t + valu
 def ring_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed rings keep their closure; their coordinates are convolved."""
     v = F.col("embedding").cast("array<double>")
-    path = F.zip_with(F.slice(v, 1, 20), F.slice(v, 21, 20), lambda a, b: F.struct(a.alias("r"), b.alias("c")))
+    half = F.floor(F.size(v) / 2).cast("int")
+    path = F.zip_with(F.slice(v, 1, half), F.slice(v, half + 1, half), lambda a, b: F.struct(a.alias("r"), b.alias("c")))
     d = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(raster.smooth_ring(path, 0.8)).alias("pos", "p"))
     return d.select("vec_id", "pos", r6(F.col("p.r")).alias("r"), r6(F.col("p.c")).alias("c"))
 

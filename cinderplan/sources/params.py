@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cinderplan.operators.ordered import numbered
+
 ACTIONS = ["waterline_action", "heavy_action", "canadair", "helicopter"]
 CONDITION = "time double, w_dir double, w_speed double, moisture double, " + ", ".join(f"{a} array<string>" for a in [*ACTIONS, "ignitions"])
 SCHEMA = (
@@ -48,15 +50,19 @@ def conditions(p: DataFrame) -> DataFrame:
     d = p.withColumn("_bc", F.when(F.size(F.coalesce("boundary_conditions", F.array().cast(f"array<{_struct(CONDITION)}>"))) > 0, F.col("boundary_conditions")).otherwise(base))
     rows = d.select(*(F.col(a).alias(f"_{a}") for a in ACTIONS), F.posexplode("_bc").alias("pos", "b"))
     rows = rows.select("pos", F.coalesce("b.time", F.lit(0.0)).alias("time"), *(F.coalesce(f"b.{c}", F.lit(0.0)).alias(c) for c in ("w_dir", "w_speed", "moisture")), *(merged(F.col(f"b.{a}"), F.col(f"_{a}")).alias(a) for a in ACTIONS), F.coalesce("b.ignitions", F.array().cast("array<string>")).alias("ignitions"))
-    return sort_and_pad(rows)
+    return sort_and_pad(rows, few=True)
+
 
+def sort_and_pad(rows: DataFrame, few: bool = False) -> DataFrame:
+    """rows(pos, time, ...) numbered by time; a calm row at 0 goes first if the first starts later.
 
-def sort_and_pad(rows: DataFrame) -> DataFrame:
-    """rows(pos, time, ...) numbered by time; a calm row at 0 goes first if the first starts later."""
+    few: rows are a job's own list of conditions, which one task may sort; otherwise they are any table.
+    """
     first = rows.agg(F.min("time").alias("time")).where("time > 0")
     calm = first.select(*((F.lit(-1) if f.name == "pos" else F.lit(0.0) if f.name == "time" or f.dataType.typeName() == "double" else F.array()).cast(f.dataType).alias(f.name) for f in rows.schema))
-    every = Window.orderBy("time", "pos")  # a job has a handful of conditions
-    return rows.unionByName(calm).withColumn("bc_id", F.row_number().over(every) - 1).drop("pos")
+    d = rows.unionByName(calm)
+    d = d.withColumn("bc_id", F.row_number().over(Window.orderBy("time", "pos")) - 1) if few else numbered(d, "time", "pos", name="bc_id")
+    return d.drop("pos")
 
 
 def ignitions(p: DataFrame, bc: DataFrame) -> DataFrame:

@@ -12,10 +12,12 @@ _own: str | None = None
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder on storage that all executors share; a local one only where the session names none (tests)."""
+    """A new folder on storage that all executors share; a local one only on a local master that names none (tests)."""
     global _own
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _own = root = _own or tempfile.mkdtemp(prefix="cinderplan-")
     return f"{root.rstrip('/')}/cinderplan/{name}-{uuid.uuid4().hex}"
 
