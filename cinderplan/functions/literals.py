@@ -21,9 +21,12 @@ def parse(literal: Column) -> Column:
 
 
 def actions(literals: DataFrame, id_column: str = "id", text: str = "literal") -> DataFrame:
-    """(id, kind, lats, lons) for each literal that parses."""
-    d = literals.select(F.col(id_column).alias("id"), F.when(F.col(text).rlike("^[^:]*:[^:;]*;[^:;]*$"), parse(F.col(text))).alias("g"))
-    return d.where("g is not null").select("id", "g.kind", "g.lats", "g.lons")
+    """(id, kind, lats, lons) for each literal; one that doesn't parse ends the query with an error that names it. Nulls are left out."""
+    found = F.when(F.col(text).rlike("^[^:]*:[^:;]*;[^:;]*$"), parse(F.col(text)))
+    wrong = F.raise_error(F.concat(F.lit("not a geometry: "), F.col(text)))
+    d = literals.where(F.col(text).isNotNull()).select(F.col(id_column).alias("id"), found.alias("_g"), F.col(text))
+    d = d.select("id", F.coalesce("_g", wrong.cast(d.schema["_g"].dataType)).alias("g"))
+    return d.select("id", "g.kind", "g.lats", "g.lons")
 
 
 def points(acts: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,7 +43,31 @@ def snapshots(spark, limit10: int, every10: int) -> DataFrame:
     return spark.range(limit10 // every10 + 1).select((F.col("id") * every10).alias("s10"))
 
 
+def first_snapshot(time: str, every10: int) -> Column:
+    """The first snapshot (s10) at or after a time."""
+    return (F.ceil(F.greatest(F.col(time), F.lit(0)) / every10) * every10).cast("long")
+
+
 def at_snapshots(rows: DataFrame, time: str, every10: int, limit10: int) -> DataFrame:
-    """rows once for each snapshot (s10) at or after their time: cumulative contents by a range, not a join."""
-    first = F.ceil(F.greatest(F.col(time), F.lit(0)) / every10) * every10
-    return rows.where(first <= limit10 // every10 * every10).withColumn("s10", F.explode(F.sequence(first.cast("long"), F.lit(limit10 // every10 * every10).cast("long"), F.lit(every10).cast("long"))))
+    """rows once for each snapshot (s10) at or after their time: cumulative contents by a range, not a join.
+
+    For rows that all later snapshots need one by one; sums and maxima are better run by ``running``.
+    """
+    first, last = first_snapshot(time, every10), limit10 // every10 * every10
+    return rows.where(first <= last).withColumn("s10", F.explode(F.sequence(first, F.lit(last).cast("long"), F.lit(every10).cast("long"))))
+
+
+def running(rows: DataFrame, time: str, every10: int, limit10: int, keys: list[str], partial: dict[str, Column], merge: dict[str, Callable[[str], Column]]) -> DataFrame:
+    """(keys, s10, values): aggregates of all rows up to each snapshot, from a key's first on.
+
+    Rows are aggregated by key and first snapshot (partial); a key's snapshots are then run through (merge of the values so far), and
+    each result is repeated only until the next, so that what is made is what is returned.
+    """
+    last = F.lit(limit10 // every10 * every10).cast("long")
+    d = rows.withColumn("s10", first_snapshot(time, every10)).where(F.col("s10") <= last)
+    d = d.groupBy(*keys, "s10").agg(*(v.alias(k) for k, v in partial.items()))
+    order = Window.partitionBy(*keys).orderBy("s10")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    until = F.coalesce(F.lead("s10").over(order) - every10, last)
+    d = d.select(*keys, "s10", until.alias("_until"), *(merge[k](k).over(so_far).alias(k) for k in partial))
+    return d.withColumn("s10", F.explode(F.sequence("s10", "_until", F.lit(every10).cast("long")))).drop("_until")

@@ -29,7 +29,7 @@ def lon_lat_grid(spark: SparkSession, meta: GridMeta) -> LonLatGrid:
     along = [(meta.west + (meta.east - meta.west) * k / n, y) for k in range(n + 1) for y in (meta.north, meta.south)]
     along += [(x, meta.south + (meta.north - meta.south) * k / n) for k in range(n + 1) for x in (meta.west, meta.east)]
     d = spark.createDataFrame(along, "e double, n double")
-    lat, lon = geodesy.inverse(F.col("e"), F.col("n"), F.lit(meta.zone))
+    lat, lon = geodesy.inverse(F.col("e"), F.col("n"), F.lit(meta.zone), not meta.south_half)
     b = d.select(lat.alias("lat"), lon.alias("lon")).agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
     return LonLatGrid(b[2], b[1], (b[3] - b[2]) / meta.cols, (b[1] - b[0]) / meta.rows, meta.rows, meta.cols)
 

@@ -11,10 +11,10 @@ THRESHOLDS = [0.0, 0.5, 0.75, 0.9]
 SIGMA, MIN_LENGTH, FRAME = 0.8, 1e-4, 9
 
 
-def masks(prob: DataFrame, thresholds: list[float] = THRESHOLDS, key: str = "threshold") -> DataFrame:
-    """(threshold, r, c) where the value reaches the threshold; level 0 means any positive value."""
-    d = prob.select("r", "c", "value", F.explode(F.array(*map(F.lit, thresholds))).alias(key))
-    return d.where((F.col("value") >= F.col(key)) & (F.col("value") > 0)).select(key, "r", "c")
+def masks(prob: DataFrame, thresholds: list[float] = THRESHOLDS, key: str = "threshold", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, threshold, r, c) where the value reaches the threshold; level 0 means any positive value."""
+    d = prob.select(*by, "r", "c", "value", F.explode(F.array(*map(F.lit, thresholds))).alias(key))
+    return d.where((F.col("value") >= F.col(key)) & (F.col("value") > 0)).select(*by, key, "r", "c")
 
 
 def ring_length(path: Column, scale: float = 1.0) -> Column:
@@ -34,18 +34,33 @@ def isochrones(prob: DataFrame, rows: int, cols: int, thresholds: list[float] =
     return found.groupBy("threshold").agg(F.transform(F.sort_array(F.collect_list(F.struct("ring", path.alias("path")))), lambda x: x["path"]).alias("lines"))
 
 
-def geojson(lines: DataFrame, time: Column, to_lon_lat) -> DataFrame:
-    """One row (value): a FeatureCollection of MultiLineStrings with time and threshold. to_lon_lat(r, c) gives two Columns."""
+def features(lines: DataFrame, time: Column, to_lon_lat) -> DataFrame:
+    """lines with f, a MultiLineString feature with time and threshold. to_lon_lat(r, c) gives two Columns."""
 
     def point(p: Column) -> Column:
         lon, lat = to_lon_lat(p["r"], p["c"])
         return F.array(lon, lat)
 
     coordinates = F.transform("lines", lambda line: F.transform(line, point))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("MultiLineString").alias("type"), coordinates.alias("coordinates")).alias("geometry"), F.struct(time.alias("time"), F.col("threshold").alias("value")).alias("properties"))
-    d = lines.agg(F.sort_array(F.collect_list(F.struct(F.col("threshold"), feature.alias("f")))).alias("fs"))
+    return lines.withColumn("f", F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("MultiLineString").alias("type"), coordinates.alias("coordinates")).alias("geometry"), F.struct(time.alias("time"), F.col("threshold").alias("value")).alias("properties")))
+
+
+def collection(found: DataFrame, order: list[str]) -> DataFrame:
+    """One row (value): the features of found in an order, as a FeatureCollection."""
+    d = found.agg(F.sort_array(F.collect_list(F.struct(*order, "f"))).alias("fs"))
     return d.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.transform("fs", lambda x: x["f"]).alias("features"))).alias("value"))
 
 
-def wkt(path: Column) -> Column:
-    return F.concat(F.lit("LINESTRING("), F.array_join(F.transform(path, lambda p: F.concat_ws(" ", p["c"].cast("string"), p["r"].cast("string"))), ", "), F.lit(")"))
+def geojson(lines: DataFrame, time: Column, to_lon_lat) -> DataFrame:
+    """One row (value): the isochrones of one time."""
+    return collection(features(lines, time, to_lon_lat), ["threshold"])
+
+
+def wkt(path: Column, to_lon_lat) -> Column:
+    """A ring as text that other tools read as a line string."""
+
+    def point(p: Column) -> Column:
+        lon, lat = to_lon_lat(p["r"], p["c"])
+        return F.concat_ws(" ", lon.cast("string"), lat.cast("string"))
+
+    return F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(path, point), ", "), F.lit(")"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +11,13 @@ from pyspark.sql import functions as F
 
 from cinderplan import sinks
 from cinderplan.functions import geodesy, literals
-from cinderplan.operators import drawing, products
+from cinderplan.operators import drawing, products, reproject
 from cinderplan.plans import isochrones, spread
 from cinderplan.sources import grids, gridtiff, params
 from cinderplan.sources.grids import GridMeta
-from cinderplan.store import stored
+from cinderplan.store import folder, stored
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -50,10 +54,13 @@ class Simulation:
         self.meta: GridMeta | None = None
         self.cells: DataFrame | None = None
 
-    def load_files(self, veg: str, dem: str, zone: int) -> Simulation:
+    def load_files(self, veg: str, dem: str, zone: int = 0) -> Simulation:
+        """zone: the UTM zone of files that don't say theirs."""
         a, b = gridtiff.read_meta(self.spark, veg, zone), gridtiff.read_meta(self.spark, dem, zone)
         if not grids.consistent(a, b):
             raise grids.SpreadError("the rasters don't match")
+        if not a.zone:
+            raise grids.SpreadError("the rasters name no UTM zone")
         self.meta = a
         self.cells = grids.from_rasters(gridtiff.read(self.spark, veg), gridtiff.read(self.spark, dem), a.rows, a.cols)
         return self
@@ -98,24 +105,32 @@ class Simulation:
             return self.settings.limit10
         return (self.burned.agg(F.max("t_burn")).first()[0] or 0) // self.settings.every10 * self.settings.every10
 
-    def maps(self) -> DataFrame:
-        """(product, t10, r, c, value) at every snapshot: probability, ros_max, ros_mean, fli_max, fli_mean."""
+    @functools.cached_property
+    def _maps(self) -> DataFrame:
         s, last = self.settings, self.last10()
         whole = self.interior.select(F.explode(F.sequence(F.lit(0), F.lit(s.n - 1))).alias("rz"), "r", "c", F.lit(0).cast("long").alias("t_burn"))
-        burned = products.at_snapshots(self.burned.select("rz", "r", "c", "t_burn").unionByName(whole), "t_burn", s.every10, last)
-        out = products.probability(burned, s.n, ["s10"]).withColumn("product", F.lit("probability"))
-        tried = products.at_snapshots(self.tried.where("ros is not null"), "t_src", s.every10, last).select("s10", "rz", F.col("nr").alias("r"), F.col("nc").alias("c"), "ros", "fli", "t_src", F.col("r").alias("fr"), F.col("c").alias("fc"), "k", "dup")
-        order = [F.col(c) for c in ("t_src", "fr", "fc", "k", "dup")]
-        now = products.last_write(tried, order, ["ros", "fli"], ["s10", "rz", "r", "c"])
+        burned = self.burned.select("rz", "r", "c", "t_burn").unionByName(whole)
+        out = products.running(burned, "t_burn", s.every10, last, ["r", "c"], {"n": F.count("*")}, {"n": F.sum})
+        out = out.select("s10", "r", "c", (F.col("n") / F.lit(float(s.n))).alias("value"), F.lit("probability").alias("product"))
+        tried = self.tried.where("ros is not null").select("rz", F.col("nr").alias("r"), F.col("nc").alias("c"), "ros", "fli", "t_src", F.col("r").alias("fr"), F.col("c").alias("fc"), "k", "dup")
+        latest = F.max(F.struct("t_src", "fr", "fc", "k", "dup", "ros", "fli"))
+        now = products.running(tried, "t_src", s.every10, last, ["rz", "r", "c"], {"v": latest}, {"v": F.max}).select("s10", "r", "c", "v.ros", "v.fli")
         for name, f, v in (("ros_max", products.largest, "ros"), ("ros_mean", products.mean_positive, "ros"), ("fli_max", products.largest, "fli"), ("fli_mean", products.mean_positive, "fli")):
             out = out.unionByName(f(now, v, ["s10"]).withColumn("product", F.lit(name)))
-        return out.select("product", F.col("s10").alias("t10"), "r", "c", "value")
+        return stored(out.select("product", F.col("s10").alias("t10"), "r", "c", "value"), "maps")
+
+    def maps(self) -> DataFrame:
+        """(product, t10, r, c, value) at every snapshot: probability, ros_max, ros_mean, fli_max, fli_mean; computed once a run."""
+        return self._maps
 
     def stats(self) -> DataFrame:
         """A row a snapshot: time (minutes), timeref, active, area_mean, area_50, area_75, area_90."""
         s, last = self.settings, self.last10()
         area = products.area_stats(self.maps().where("product = 'probability'"), self.meta.step_x, self.meta.step_y, ["t10"])
-        pending = products.at_snapshots(self.tried, "t_src", s.every10, last).where("t_arr > s10")
+        # an event is pending at the snapshots from its source's time until before its own
+        ends = F.least(F.lit(last // s.every10 * s.every10), (F.ceil(F.col("t_arr") / s.every10) - 1) * s.every10).cast("long")
+        pending = self.tried.withColumns({"_from": products.first_snapshot("t_src", s.every10), "_to": ends}).where("_from <= _to")
+        pending = pending.select("rz", F.explode(F.sequence("_from", "_to", F.lit(s.every10).cast("long"))).alias("s10"))
         act = products.active(pending, ["s10"]).withColumnRenamed("s10", "t10")
         d = products.snapshots(self.spark, last, s.every10).withColumnRenamed("s10", "t10").join(area, "t10", "left").join(act, "t10", "left")
         start = literals.init_date(F.lit(s.init_date)) if s.init_date else F.current_timestamp()
@@ -123,23 +138,36 @@ class Simulation:
         return d.withColumns(zero).withColumn("time", F.col("t10") / 10).withColumn("timeref", literals.time_reference(start, F.col("t10") / 10))
 
     def isochrones(self, t10: int) -> DataFrame:
-        prob = stored(self.maps().where((F.col("product") == "probability") & (F.col("t10") == t10)).select("r", "c", "value"), "prob")
+        prob = self.maps().where((F.col("product") == "probability") & (F.col("t10") == t10)).select("r", "c", "value")
         return isochrones.isochrones(prob, self.meta.rows, self.meta.cols)
 
     def lon_lat(self, r, c):
         m = self.meta
-        lat, lon = geodesy.inverse(F.lit(m.west) + c * m.step_x, F.lit(m.north) - r * m.step_y, F.lit(m.zone))
+        lat, lon = geodesy.inverse(F.lit(m.west) + c * m.step_x, F.lit(m.north) - r * m.step_y, F.lit(m.zone), not m.south_half)
         return lon, lat
 
     def write(self, path: str) -> None:
-        """Maps as Parquet, statistics as JSON, isochrones of every snapshot as GeoJSON."""
-        maps = self.maps()
+        """Per snapshot and product a GeoTIFF in degrees and its statistics as JSON; isochrones up to each snapshot as GeoJSON; all
+        maps, in grid cells, as Parquet. Writes a line of progress a snapshot to the log."""
         value = F.col("value")
         for p in ("probability", "ros_max", "ros_mean"):
             value = F.when(F.col("product") == p, sinks.scaled(p, F.col("value")).cast("double")).otherwise(value)
-        sinks.write_maps(maps.withColumn("value", value), f"{path}/maps")
+        maps = self.maps().withColumn("value", value)
+        sinks.write_maps(maps, f"{path}/maps")
         stats = stored(self.stats(), "stats")
         sinks.write_metadata(stats, f"{path}/stats")
-        for row in stats.select("t10").orderBy("t10").toLocalIterator():
+        about = {r["t10"]: r["value"] for r in stats.select("t10", sinks.described().alias("value")).collect()}  # a row a snapshot
+        to = reproject.lon_lat_grid(self.spark, self.meta)
+        images = stored(sinks.geotiffs(reproject.reprojected(maps, self.meta, to, ("product", "t10")), to.west, to.north, to.step_lon, to.step_lat), "images")
+        for row in images.toLocalIterator():  # a map at a time
+            name = f"{path}/{sinks.PREFIX[row['product']]}{sinks.time_name(row['t10'])}"
+            sinks.put(self.spark, f"{name}.tiff", bytes(row["content"]))
+            sinks.put(self.spark, f"{name}.json", about[row["t10"]].encode())
+        lines = folder(self.spark, "isochrones")
+        for row in stats.select("t10", "active", "area_mean", literals.log_line(F.col("time"), F.col("active"), F.col("area_mean")).alias("line")).orderBy("t10").collect():  # a row a snapshot
             t = row["t10"]
-            sinks.write_geojson(isochrones.geojson(self.isochrones(t), F.lit(t / 10), self.lon_lat), f"{path}/isochrones/t10={t}")
+            self.isochrones(t).withColumn("t10", F.lit(t).cast("long")).write.mode("append").parquet(lines)
+            found = isochrones.features(self.spark.read.parquet(lines), F.col("t10") / 10, self.lon_lat)
+            text = isochrones.collection(found, ["t10", "threshold"]).first()["value"]
+            sinks.put(self.spark, f"{path}/isochrones_{sinks.time_name(t)}.geojson", text.encode())
+            log.info(row["line"])

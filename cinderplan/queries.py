@@ -369,8 +369,12 @@ def snapshot_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def snapshot_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limit = 31 * 24
-    return products.at_snapshots(_queue(spark, sf_dir), "t10", 48, limit).groupBy("s10").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    limit, queue = 31 * 24, _queue(spark, sf_dir)
+    every = F.lit(0).alias("_k")
+    rows = products.running(queue.select("t10", every), "t10", 48, limit, ["_k"], {"n": F.count("*")}, {"n": F.sum})
+    first = queue.groupBy("user_id").agg(F.min("t10").alias("t10"))  # a user counts from then on
+    users = products.running(first.select("t10", every), "t10", 48, limit, ["_k"], {"users": F.count("*")}, {"users": F.sum})
+    return rows.join(users, "s10").select("s10", "n", "users")
 
 
 oracle.SQL["snapshot_trigger"] = f"SELECT t10, event_id FROM ({_QUEUE}) WHERE t10 % 24 = 0"
@@ -725,7 +729,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Burned-area statistics at snapshots of a small run."""
     f = _field(spark, sf_dir, spread.Rules(limit10=300))
     done = stored(spread.by_epoch(f, _start(spark)), "burned")
-    p = products.probability(products.at_snapshots(done, "t_burn", 100, 300), 4, ["s10"])
+    p = products.running(done, "t_burn", 100, 300, ["r", "c"], {"n": F.count("*")}, {"n": F.sum}).withColumn("value", F.col("n") / 4.0)
     return products.area_stats(p, keys=["s10"])
 
 

@@ -18,7 +18,7 @@ class NoTilesError(SpreadError):
 
 @dataclass(frozen=True)
 class GridMeta:
-    """Where a grid lies: top-left corner, steps, size and UTM zone."""
+    """Where a grid lies: top-left corner, steps, size, UTM zone and hemisphere, and its file's EPSG code (0: none)."""
 
     west: float
     north: float
@@ -27,6 +27,8 @@ class GridMeta:
     rows: int
     cols: int
     zone: int
+    south_half: bool = False
+    crs: int = 0
 
     @property
     def east(self) -> float:
@@ -59,9 +61,9 @@ def from_rasters(veg: DataFrame, dem: DataFrame, rows: int, cols: int) -> DataFr
 
 
 def consistent(a: GridMeta, b: GridMeta) -> bool:
-    """Same zone, step within 1 percent, bounds within two steps in all (sum of the four differences)."""
+    """Same reference system, step within 1 percent, bounds within two steps in all (sum of the four differences)."""
     off = sum(abs(x - y) for x, y in ((a.west, b.west), (a.south, b.south), (a.east, b.east), (a.north, b.north)))
-    return a.zone == b.zone and abs(a.step_x - b.step_x) / a.step_x <= 0.01 and off <= 2 * a.step_x
+    return (a.crs, a.zone, a.south_half) == (b.crs, b.zone, b.south_half) and abs(a.step_x - b.step_x) / a.step_x <= 0.01 and off <= 2 * a.step_x
 
 
 def window(tiles: DataFrame, zone: int, var: str, top: int, left: int, side: int, tile_side: int, tileset: str = "default") -> DataFrame:

@@ -1,8 +1,10 @@
 """Drawing, morphology, rings, rasters in files, conditions and parameters."""
 
 import json
+import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cinderplan import sinks
@@ -57,6 +59,97 @@ def test_tiff_round_trip(spark, tmp_path):
     assert grids.consistent(m, m)
 
 
+def tiff(a, packing, pack, tile=None, big=False, order="<", predictor=1):
+    """A raster in a TIFF file, written apart from the library's own writer."""
+    import struct
+
+    rows, cols = a.shape
+    a = a.astype(a.dtype.newbyteorder(order))
+    if tile:
+        padded = np.zeros((-(-rows // tile) * tile, -(-cols // tile) * tile), a.dtype)
+        padded[:rows, :cols] = a
+        parts = [padded[r : r + tile, c : c + tile] for r in range(0, rows, tile) for c in range(0, cols, tile)]
+    else:
+        parts = [a[r : r + 2] for r in range(0, rows, 2)]
+    if predictor == 2:
+        parts = [np.concatenate([p[:, :1], p[:, 1:] - p[:, :-1]], 1).astype(a.dtype) for p in parts]
+    if predictor == 3:
+        planes = [p.astype(p.dtype.newbyteorder(">")).view(np.uint8).reshape(p.shape[0], p.shape[1], -1).transpose(0, 2, 1).reshape(p.shape[0], -1) for p in parts]
+        parts = [np.concatenate([p[:, :1], p[:, 1:] - p[:, :-1]], 1) for p in planes]
+    packed = [pack(np.ascontiguousarray(p).tobytes()) for p in parts]
+    head = 16 if big else 8
+    places = np.cumsum([head, *map(len, packed)])[:-1]
+    body = b"".join(packed)
+    word, size = ("Q", 8) if big else ("I", 4)
+    lists = struct.pack(f"{order}{len(packed)}{word}", *places) + struct.pack(f"{order}{len(packed)}{word}", *map(len, packed))
+    at = head + len(body)
+    number = len(packed)
+    where = [at, at + number * size] if number > 1 else [int(places[0]), len(packed[0])]
+    kind = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
+    long = 16 if big else 4
+    tags = {256: (3, 1, cols), 257: (3, 1, rows), 258: (3, 1, a.dtype.itemsize * 8), 259: (3, 1, packing), 317: (3, 1, predictor), 339: (3, 1, kind)}
+    tags |= {322: (3, 1, tile), 323: (3, 1, tile), 324: (long, number, where[0]), 325: (long, number, where[1])} if tile else {273: (long, number, where[0]), 278: (3, 1, 2), 279: (long, number, where[1])}
+    value = lambda k, v: struct.pack(order + "H", v).ljust(size, b"\0") if k == 3 else struct.pack(order + word, v)
+    ifd = struct.pack(order + ("Q" if big else "H"), len(tags)) + b"".join(struct.pack(order + "HH" + word, t, k, n) + value(k, v) for t, (k, n, v) in sorted(tags.items())) + b"\0" * size
+    mark = b"II" if order == "<" else b"MM"
+    begin = at + len(lists)
+    return mark + (struct.pack(order + "HHHQ", 43, 8, 0, begin) if big else struct.pack(order + "HI", 42, begin)) + body + lists + ifd
+
+
+def lzw(data):
+    """Codes of nine bits and more, begun anew before the table is full."""
+    codes, known, word = [(256, 9)], {bytes([i]): i for i in range(256)}, b""
+    size = 258
+    width = lambda: min(12, max(9, (size + 1).bit_length()))
+    for x in data:
+        if word + bytes([x]) in known:
+            word += bytes([x])
+            continue
+        codes.append((known[word], max(9, size.bit_length()) if size > 258 else 9))
+        known[word + bytes([x])] = size
+        size += 1
+        word = bytes([x])
+        if size >= 4094:
+            codes.append((known[word], size.bit_length()))
+            codes.append((256, (size + 1).bit_length() if size < 4095 else 12))
+            known, size, word = {bytes([i]): i for i in range(256)}, 258, b""
+    if word:
+        codes.append((known[word], max(9, size.bit_length()) if size > 258 else 9))
+        size += 1
+    codes.append((257, max(9, size.bit_length())))
+    bits = "".join(format(c, f"0{w}b") for c, w in codes)
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def packbits(data):
+    return b"".join(bytes([len(data[k : k + 128]) - 1]) + data[k : k + 128] for k in range(0, len(data), 128))
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize(("packing", "pack"), [(1, bytes), (5, lzw), (8, zlib.compress), (32773, packbits)])
+@pytest.mark.parametrize(("tile", "big"), [(None, False), (16, False), (16, True)])
+def test_tiff_layouts(packing, pack, tile, big, order):
+    rng = np.random.default_rng(1)
+    for a in (rng.integers(0, 9, (37, 45)).astype(np.uint8), rng.integers(-3000, 3000, (20, 33)).astype(np.int16), rng.normal(0, 500, (19, 18)).astype(np.float32)):
+        for predictor in (1, 2, 3) if a.dtype.kind == "f" else (1, 2):
+            if predictor == 2 and a.dtype.kind == "f":
+                continue
+            assert (gridtiff.image(tiff(a, packing, pack, tile, big, order, predictor)) == a).all(), (a.dtype, predictor)
+
+
+def test_unlzw_of_known_bytes():
+    assert gridtiff.unlzw(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01])) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
+
+
+def test_reference_system_of_files():
+    a = np.zeros((3, 4), np.uint8)
+    m = gridtiff.meta(sinks.geotiff(a, 5e5, 7e6, 20.0, 20.0, crs=32733))
+    assert (m.zone, m.south_half, m.crs) == (33, True, 32733)
+    north = gridtiff.meta(sinks.geotiff(a, 5e5, 7e6, 20.0, 20.0, crs=32633))
+    assert not north.south_half and not grids.consistent(m, north)
+
+
 def test_conditions(spark, tmp_path):
     job = {"time_limit": 60, "ignitions": ["POINT: 1;2"], "canadair": ["LINE:[1];[2]"], "boundary_conditions": [{"time": 30, "w_dir": 10, "w_speed": 30, "moisture": 5, "canadair": ["x"], "ignitions": None}, {"time": 10, "w_dir": 1}]}
     (tmp_path / "p.json").write_text(json.dumps(job, indent=1))

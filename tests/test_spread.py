@@ -2,13 +2,16 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cinderplan import cli, sinks
+from cinderplan.functions import literals
 from cinderplan.operators import products
 from cinderplan.plans import spread
 from cinderplan.plans.simulation import Simulation
-from cinderplan.sources import grids, params
+from cinderplan.sources import grids, gridtiff, params
 from cinderplan.sources.grids import GridMeta
 
 BC = "bc_id int, time double, w_dir double, w_speed double, moisture double"
@@ -100,16 +103,46 @@ def test_whole_job(spark, tmp_path):
     s.write(f"file://{tmp_path}/out")
     maps = spark.read.parquet(f"file://{tmp_path}/out/maps")
     assert {r[0] for r in maps.select("product").distinct().collect()} == {"probability", "ros_max", "ros_mean", "fli_max", "fli_mean"}
-    geo = json.loads(spark.read.text(f"file://{tmp_path}/out/isochrones/t10=200").first().value)
-    assert geo["type"] == "FeatureCollection"
-
-
-def test_errors(spark):
+    geo = json.loads((tmp_path / "out/isochrones_20.0.geojson").read_text())
+    assert geo["type"] == "FeatureCollection" and {f["properties"]["time"] for f in geo["features"]} <= {0.0, 10.0, 20.0}
+    names = {f"{p}{t}" for p in ("", "RoS_max_", "RoS_mean_", "fireline_intensity_max_", "fireline_intensity_mean_") for t in ("10.0", "20.0")} | {"0"}
+    for n in names:
+        about = json.loads((tmp_path / f"out/{n}.json").read_text())
+        data = (tmp_path / f"out/{n}.tiff").read_bytes()
+        assert about["time"] == float(n.rsplit("_", 1)[-1]) and gridtiff.tags(data)[1][gridtiff.KEYS][-1] == 4326
+        assert gridtiff.image(data).max() > 0
+    last = maps.where("product = 'probability' and t10 = 200").agg({"value": "max"}).first()[0]
+    assert gridtiff.image((tmp_path / "out/20.0.tiff").read_bytes()).max() == int(last)
+
+
+def test_errors(spark, tmp_path):
     import pyspark
 
-    p = params.with_defaults(spark.createDataFrame([(None, None, None)], "time_limit double, n_threads int, init_date string"))
-    with pytest.raises((grids.SpreadError, pyspark.errors.AnalysisException)):
+    (tmp_path / "p.json").write_text(json.dumps({"time_limit": 10}))
+    p = params.read(spark, f"file://{tmp_path}/p.json")
+    with pytest.raises(grids.SpreadError, match="no ignitions"):
         Simulation(spark, p)
+    with pytest.raises(pyspark.errors.PySparkException, match="not a geometry: POINT 1 2"):
+        literals.actions(spark.createDataFrame([(1, "POINT 1 2")], "id int, literal string")).collect()
     tiles = spark.createDataFrame([], "tileset string, zone int, var string, i int, j int, r int, c int, value double")
     with pytest.raises(grids.NoTilesError):
         grids.tile_cells(tiles, 32, 0, 0, 4, 10)
+
+
+def test_command_line(spark, tmp_path):
+    """Exit codes 0, 1 and 2; rasters that name their zone; the optional outputs."""
+    job = {"time_limit": 10, "time_resolution": 10, "n_threads": 2, "ignitions": ["POINT: 44.32372526549074;8.45040310174227"], "boundary_conditions": [{"time": 0, "w_dir": 10, "w_speed": 30}]}
+    (tmp_path / "p.json").write_text(json.dumps(job))
+    grid = {"west": 455976.0, "north": 4908176.0, "step_x": 20.0, "step_y": 20.0}
+    (tmp_path / "veg.tif").write_bytes(sinks.geotiff(np.full((21, 21), 4, np.uint8), **grid, crs=32632))
+    (tmp_path / "dem.tif").write_bytes(sinks.geotiff(np.zeros((21, 21), np.float32), **grid, crs=32632))
+    (tmp_path / "far.tif").write_bytes(sinks.geotiff(np.zeros((21, 21), np.float32), **grid, crs=32633))
+    at = lambda x: f"file://{tmp_path}/{x}"
+    common = ["-f", at("p.json"), "-of", at("out"), "-veg", at("veg.tif"), "-id", "x", "-it", "1", "-st", "2", "-sf", "0.1", "-v", "-sr"]
+    assert cli.main([*common, "-dem", at("dem.tif")]) == 0
+    assert {"0.tiff", "10.0.tiff", "RoS_max_10.0.json", "isochrones_10.0.geojson"} <= {p.name for p in (tmp_path / "out").iterdir()}
+    assert spark.read.parquet(at("out/grids")).count() == 441 and spark.read.parquet(at("out/realizations")).count() > 0
+    assert cli.main([*common, "-dem", at("far.tif")]) == 1  # another reference system
+    assert cli.main(["-f", at("none.json"), "-of", at("out")]) == 1
+    spark.createDataFrame([], "tileset string, zone int, var string, i int, j int, r int, c int, value double").write.parquet(at("tiles"))
+    assert cli.main(["-f", at("p.json"), "-of", at("out"), "-tiles", at("tiles")]) == 2
