@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -15,26 +18,51 @@ from pyspark.sql import functions as F
 
 #: A Java pattern for one run of the six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]"
-#: Rows of two or three longs that may be broadcast: under 128 MB in a hashed relation.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that a table of numbers may have to be broadcast, reckoned at ROW_BYTES a row and 8 a column; it takes up to twice as much.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 16
 #: Bytes of text that a Python worker holds at once, apart from a single longer text.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+
+#: Makes Spark delete a query's shuffle files as soon as the query has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only if the session names none (tests on one machine)."""
+    """The folder in spark.checkpoint.dir; one of our own only on a local master that names none (tests on one machine)."""
     global _own_dir
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="cinderplan-")
     return _own_dir
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cinderplan/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in this application's own part of it."""
+    return f"{shared_dir(spark)}/cinderplan/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Queries begun within leave no shuffle files behind."""
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``stored``, with the path, for tables that ``discard`` deletes before the job's end."""
+    path = new_folder(df.sparkSession, name)
+    with cleaning(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -42,22 +70,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     The table lives until ``drop_stored`` is called; a job may call that once its result is written.
     """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_stored(spark: SparkSession) -> None:
-    """Deletes what ``stored`` and the archive writers have left in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cinderplan")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes what ``stored`` and the archive writers have left of this application in the shared folder."""
+    discard(spark, f"{shared_dir(spark)}/cinderplan/{spark.sparkContext.applicationId}")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most ``rows`` rows; beyond that Spark shuffles it.
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its rows take at most ``most`` bytes; beyond that Spark shuffles it.
 
     For tables of a few numbers a row. df should be stored or cheap, as it is counted.
     """
+    rows = most // (ROW_BYTES + 8 * len(df.columns))
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -75,6 +106,20 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda pad: 0
+
+
+def release() -> None:
+    """Gives the memory that a Python worker has freed back to the system: workers live on and wait beside others."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of ``column``, a row at least."""
     if not batch.num_rows:
