@@ -8,12 +8,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: How much a batch between Spark and a Python worker may hold; both keep some of them beside their heaps.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 _done: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package's sources, zipped, to the Python path of the application's workers, once."""
+    """Adds the package's sources, zipped, to the Python path of the application's workers, once; bounds Arrow batches unless the session does."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     if sc.applicationId in _done:
         return
     root = Path(__file__).resolve().parent
