@@ -34,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-sr", dest="realizations", action="store_true", help="write the burn times of each realization too (Parquet)")
     p.add_argument("-spo", dest="spotting", action="store_true", help="with fire spotting")
     p.add_argument("-seed", type=int, default=42)
-    p.add_argument("-plan", choices=["epoch", "tick", "group"], default="epoch")
+    p.add_argument("-plan", choices=["block", "epoch", "tick", "group"], default="block")
     return p
 
 

@@ -48,15 +48,6 @@ def first_snapshot(time: str, every10: int) -> Column:
     return (F.ceil(F.greatest(F.col(time), F.lit(0)) / every10) * every10).cast("long")
 
 
-def at_snapshots(rows: DataFrame, time: str, every10: int, limit10: int) -> DataFrame:
-    """rows once for each snapshot (s10) at or after their time: cumulative contents by a range, not a join.
-
-    For rows that all later snapshots need one by one; sums and maxima are better run by ``running``.
-    """
-    first, last = first_snapshot(time, every10), limit10 // every10 * every10
-    return rows.where(first <= last).withColumn("s10", F.explode(F.sequence(first, F.lit(last).cast("long"), F.lit(every10).cast("long"))))
-
-
 def running(rows: DataFrame, time: str, every10: int, limit10: int, keys: list[str], partial: dict[str, Column], merge: dict[str, Callable[[str], Column]]) -> DataFrame:
     """(keys, s10, values): aggregates of all rows up to each snapshot, from a key's first on.
 

@@ -83,8 +83,9 @@ class Simulation:
         self.cells, self.meta = cells, meta
         return self
 
-    def run(self, plan: str = "epoch") -> Simulation:
+    def run(self, plan: str = "block") -> Simulation:
         m, s = self.meta, self.settings
+        self.__dict__.pop("_maps", None)  # of an earlier run
         contour, covered = drawing.rasterized(self.ignitions, m, ["time"])
         start = spread.seeds(contour, s.n, F.rint(F.col("time") * 10))
         interior = covered.where("time = 0").select("r", "c").join(contour.where("time = 0").select("r", "c"), ["r", "c"], "left_anti")
@@ -96,7 +97,7 @@ class Simulation:
             burned, tried = spread.by_tick(field, start)
             self.burned, self.tried = stored(burned, "burned"), tried
         else:
-            self.burned = stored((spread.by_group if plan == "group" else spread.by_epoch)(field, start), "burned")
+            self.burned = stored({"block": spread.by_blocks, "epoch": spread.by_epoch, "group": spread.by_group}[plan](field, start), "burned")
             self.tried = stored(spread.attempts_of(field, self.burned), "attempts")
         return self
 

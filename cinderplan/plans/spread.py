@@ -1,9 +1,10 @@
 """Fire spread as a fixpoint over relations.
 
 With keyed draws an edge's outcome is a function of (seed, realization, source, neighbour, condition in force when the
-source burns). Burn time is therefore the shortest path over open edges, and three plans give the same rows:
+source burns). Burn time is therefore the shortest path over open edges, and four plans give the same rows:
 
-* ``by_epoch`` (default): label-correcting relaxation, one condition after the other; rounds follow hops, not minutes.
+* ``by_epoch``: label-correcting relaxation, one condition after the other; rounds follow hops, not minutes.
+* ``by_blocks`` (default): blocks of cells are searched whole, and only what crosses their borders is exchanged; rounds follow blocks.
 * ``by_tick``: one iteration per time bucket, literally the queue; can keep duplicate events (``multiplicity``).
 * ``by_group``: open edges are computed as columns for every condition, and each realization is searched in one place.
 
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 from cinderplan import tables
 from cinderplan.functions import keyed, physics
 from cinderplan.operators.conditions import intervals
-from cinderplan.store import small, stored
+from cinderplan.store import folder, small, stored
 
 #: Rows of small dimension tables (conditions, overlays, heavy cells) that may be broadcast.
 BROADCAST = 200_000
 NEVER = 2**62
+#: Cells a side of a block that is searched at once.
+BLOCK = 64
 #: Rounds of relaxation whose improvements are merged on the fly before arrivals are written anew.
 COMPACT = 6
 
@@ -198,15 +201,103 @@ def by_epoch(field: Field, start: DataFrame) -> DataFrame:
     return known.withColumnRenamed("t10", "t_burn")
 
 
-def by_tick(field: Field, start: DataFrame, multiplicity: str = "first", overshoot: bool = False, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def by_blocks(field: Field, start: DataFrame, side: int = BLOCK) -> DataFrame:
+    """ignitions(rz, r, c, t_burn): whole blocks of side x side cells are searched at a time; rounds follow block borders, not hops.
+
+    Within a condition a cell's open edges don't depend on when it burns, so that a block's are computed once, when the fire reaches
+    it. A task holds one realization's block: its edges, its cells' arrivals, and what arrives from outside.
+    """
+    rules, spark = field.rules, start.sparkSession
+    block = lambda d: d.withColumns({"br": F.floor(F.col("r") / side).cast("int"), "bc": F.floor(F.col("c") / side).cast("int")})
+    first = start.join(field.cells.where("veg > 0").select("r", "c"), ["r", "c"]).where(F.col("t10") <= rules.limit10)
+    if field.heavy is not None:
+        first = first.join(field.heavy, ["r", "c"], "left").where("heavy_t10 is null or t10 < heavy_t10")
+    known = stored(block(first.groupBy("rz", "r", "c").agg(F.min("t10").alias("t10"))), "arrivals")
+    everywhere = block(field.cells.where("veg > 0").select("r", "c"))
+    free = Field(field.cells, field.edges, field.bc, Rules(**{**rules.__dict__, "limit10": NEVER}), field.rows, field.cols, field.moist, None)
+    at, keys = ["rz", "br", "bc"], ["rz", "r", "c"]
+    rounds = 0
+    for since, until in field.epochs():
+        path, seen = folder(spark, "open"), None
+        front = known.where((F.col("t10") >= since) & (F.col("t10") < until))
+        while not front.isEmpty():
+            touched = front.select(*at).distinct()
+            fresh = touched if seen is None else touched.join(seen, at, "left_anti")
+            sources = fresh.join(everywhere, ["br", "bc"]).select("rz", "r", "c", F.lit(since).cast("long").alias("t10"), F.lit(0).alias("dup"))
+            opened = block(free.attempts(sources)).select(*at, "r", "c", "nr", "nc", (F.col("t_arr") - F.col("t_src")).alias("dt10"))
+            if field.heavy is not None:
+                opened = opened.join(field.heavy.select(F.col("r").alias("nr"), F.col("c").alias("nc"), "heavy_t10"), ["nr", "nc"], "left")
+            else:
+                opened = opened.withColumn("heavy_t10", F.lit(None).cast("long"))
+            opened = opened.select(*at, "r", "c", "nr", "nc", "dt10", "heavy_t10")
+            opened.write.mode("append").parquet(path)
+            seen = stored(touched if seen is None else seen.unionAll(fresh), "seen")
+            edge = spark.read.schema(opened.schema).parquet(path).join(touched, at, "left_semi")
+            here = known.join(touched, at, "left_semi").select(*at, "r", "c", "t10", F.lit(False).alias("new")).unionByName(front.select(*at, "r", "c", "t10", F.lit(True).alias("new")))
+            found = here.groupBy(*at).cogroup(edge.groupBy(*at)).applyInPandas(_searched(since, until, rules.limit10), "rz int, r int, c int, t10 long, crossed boolean")
+            # of equal arrivals one from within the block comes first: its own block has been searched from there
+            best = found.groupBy(*keys).agg(F.min(F.struct("t10", "crossed")).alias("b")).select(*keys, F.col("b.t10").alias("new"), "b.crossed")
+            better = stored(best.join(known.select(*keys, "t10"), keys, "left").where("t10 is null or new < t10").select(*keys, F.col("new").alias("t10"), "crossed"), "better")
+            known = block(known.select(*keys, "t10").unionByName(better.select(*keys, "t10")).groupBy(*keys).agg(F.min("t10").alias("t10")))
+            rounds += 1
+            if rounds % COMPACT == 0:
+                known = stored(known, "arrivals")
+            front = block(better.where(F.col("crossed") & (F.col("t10") >= since) & (F.col("t10") < until)).select(*keys, "t10"))
+        known = stored(known, "arrivals")
+    return known.select(*keys, F.col("t10").alias("t_burn"))
+
+
+def _searched(since: int, until: int, limit: int):
+    """A block's earliest arrivals from its new sources: what is better than known, and all that leaves the block (crossed)."""
+
+    def search(key: tuple, cells: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
+        near: dict[tuple, list] = {}
+        for r, c, nr, nc, dt, heavy in zip(*(edge[x].tolist() for x in ("r", "c", "nr", "nc", "dt10", "heavy_t10")), strict=True):
+            near.setdefault((r, c), []).append((nr, nc, dt, heavy if heavy == heavy and heavy is not None else NEVER))
+        known: dict[tuple, int] = {}
+        todo = []
+        for r, c, t, new in zip(*(cells[x].tolist() for x in ("r", "c", "t10", "new")), strict=True):
+            known[r, c] = min(t, known.get((r, c), t))
+            if new:
+                todo.append((t, r, c))
+        if len(cells) == 0 or not todo:
+            return pd.DataFrame({"rz": [], "r": [], "c": [], "t10": [], "crossed": []}).astype({"rz": "int32", "r": "int32", "c": "int32", "t10": "int64", "crossed": bool})
+        side = {(r, c) for r, c in zip(edge.r.tolist(), edge.c.tolist(), strict=True)} | known.keys()
+        inside: dict[tuple, int] = {}
+        outside: dict[tuple, int] = {}
+        heapq.heapify(todo)
+        while todo:
+            t, r, c = heapq.heappop(todo)
+            if known[r, c] < t:
+                continue
+            for nr, nc, dt, heavy in near.get((r, c), ()):
+                u, cell = t + dt, (nr, nc)
+                if u > limit or u >= heavy:
+                    continue
+                if cell not in side:
+                    outside[cell] = min(u, outside.get(cell, u))
+                elif u < known.get(cell, NEVER):
+                    known[cell] = inside[cell] = u
+                    if since <= u < until:
+                        heapq.heappush(todo, (u, nr, nc))
+        rows = [(key[0], r, c, t, False) for (r, c), t in inside.items()] + [(key[0], r, c, t, True) for (r, c), t in outside.items()]
+        return pd.DataFrame(rows, columns=["rz", "r", "c", "t10", "crossed"])
+
+    return search
+
+
+def by_tick(field: Field, start: DataFrame, multiplicity: str = "first", overshoot: bool = False) -> tuple[DataFrame, DataFrame]:
     """(ignitions, attempts) bucket by bucket. multiplicity "reference": a cell queued k times for a bucket tries k times.
 
-    overshoot: the bucket after the limit still runs.
+    overshoot: the bucket after the limit still runs. Each bucket appends to the two tables; none is written again.
     """
-    rules = field.rules
+    rules, spark = field.rules, start.sparkSession
+    if overshoot:  # what comes after the limit must be queued, too
+        field = Field(field.cells, field.edges, field.bc, Rules(**{**rules.__dict__, "limit10": NEVER}), field.rows, field.cols, field.moist, field.heavy)
     queue = stored(start.select("t10", "rz", "r", "c"), "queue")
+    burned_path, attempts_path = folder(spark, "burned"), folder(spark, "attempts")
     burned = attempts = None
-    for _ in range(most):
+    while True:
         t = queue.agg(F.min("t10")).first()[0]
         if t is None or (t > rules.limit10 and not overshoot):
             break
@@ -219,10 +310,12 @@ def by_tick(field: Field, start: DataFrame, multiplicity: str = "first", oversho
         bucket = bucket.withColumn("dup", F.row_number().over(order) - 1) if multiplicity == "reference" else bucket.distinct().withColumn("dup", F.lit(0))
         bucket = stored(bucket.select("rz", "r", "c", "t10", "dup"), "bucket")
         now = bucket.where("dup = 0").select("rz", "r", "c", F.col("t10").alias("t_burn"))
-        burned = stored(now if burned is None else burned.unionByName(now), "burned")
+        now.write.mode("append").parquet(burned_path)
+        burned = spark.read.schema(now.schema).parquet(burned_path)
         tried = field.attempts(bucket).join(burned.select("rz", F.col("r").alias("nr"), F.col("c").alias("nc")), ["rz", "nr", "nc"], "left_anti")
         tried = stored(tried, "tried")
-        attempts = tried if attempts is None else attempts.unionByName(tried)
+        tried.write.mode("append").parquet(attempts_path)
+        attempts = spark.read.schema(tried.schema).parquet(attempts_path)
         queue = stored(queue.where(F.col("t10") > t).unionByName(tried.select(F.col("t_arr").alias("t10"), "rz", F.col("nr").alias("r"), F.col("nc").alias("c"))), "queue")
         if overshoot and t > rules.limit10:
             break

@@ -704,7 +704,7 @@ def spread_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def spread_stochastic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Burn times with keyed draws over two conditions."""
-    return spread.by_epoch(_field(spark, sf_dir, spread.Rules(limit10=400)), _start(spark)).select("rz", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "t_burn")
+    return spread.by_blocks(_field(spark, sf_dir, spread.Rules(limit10=400)), _start(spark)).select("rz", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "t_burn")
 
 
 @query

@@ -76,3 +76,12 @@ def test_literals(spark):
     text = ["POINT: 52.47751;-6.82354", "LINE:[44.1 44.2 ];[8.1 8.2 ]", "POLYGON:[1 2 3];[4 5 6]", "nonsense", "a:b:c"]
     d = literals.actions(spark.createDataFrame(list(enumerate(text)), "id int, literal string")).orderBy("id").collect()
     assert [(r.id, r.kind, r.lats, r.lons) for r in d] == [(0, "POINT", [52.47751], [-6.82354]), (1, "LINE", [44.1, 44.2], [8.1, 8.2]), (2, "POLYGON", [1, 2, 3], [4, 5, 6])]
+
+
+def test_grid_side():
+    assert [physics.grid_side(km) for km in (20, 1, 6.01, 100)] == [1000, 300, 300, 1500]
+
+
+def test_table_override(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("# head\n1 2.5  3\n\n 4 5 6 # end\n")
+    assert tables.read_table(spark, f"file://{tmp_path}/t.txt") == [[1.0, 2.5, 3.0], [4.0, 5.0, 6.0]]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinderplan import sinks
+from cinderplan.functions import geodesy
 from cinderplan.operators import conditions, drawing, raster
 from cinderplan.sources import grids, gridtiff, params
 
@@ -170,3 +171,27 @@ def test_as_of_both_ways(spark):
     assert got == {-1: None, 0: "a", 4: "a", 5: "c", 8: "c", 100: "d"}
     many = conditions.as_of(events, states.where("s <> 'b'"), "t", "time", ["s"])
     assert {r.t: r.s for r in many.collect()} == got
+
+
+def test_overlays_from_literals(spark):
+    """Waterlines, Canadair drops and helicopters leave their moisture on the cells they draw and beside them; heavy lines block."""
+    meta = grids.GridMeta(455976.0, 4908176.0, 20.0, 20.0, 21, 21, 32)
+    at = lambda r, c: (F.lit(meta.west + (c + 0.5) * 20), F.lit(meta.north - (r + 0.5) * 20), F.lit(32))
+    ends = [(5, 3), (5, 6), (10, 3), (10, 6), (15, 15), (18, 2), (18, 4)]
+    row = spark.range(1).select(*(F.concat_ws(" ", *(x.cast("string") for x in geodesy.inverse(*at(*e)))).alias(f"p{k}") for k, e in enumerate(ends))).first()
+    p = [x.split() for x in row]
+    line = lambda a, b: f"LINE:[{a[0]} {b[0]}];[{a[1]} {b[1]}]"
+    schema = "bc_id int, time double, waterline_action array<string>, canadair array<string>, helicopter array<string>, heavy_action array<string>"
+    bc = spark.createDataFrame([(0, 0.0, [line(p[0], p[1])], [line(p[2], p[3])], [f"POINT:{p[4][0]};{p[4][1]}"], []), (1, 30.0, [], [], [], [line(p[5], p[6])])], schema)
+    got = {(r.r, r.c): r.moist for r in drawing.moisture_overlays(bc, meta).where("bc_id = 0").collect()}
+    cross = lambda cells: {(r + a, c + b) for r, c in cells for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))}
+    water, drop = {(5, c) for c in range(3, 7)}, {(10, c) for c in range(3, 7)}
+    heli = [k for k, v in got.items() if v == drawing.HELICOPTER and k[0] > 12]  # a buffer has the same value
+    assert len(heli) == 1 and max(abs(heli[0][0] - 15), abs(heli[0][1] - 15)) <= 2
+    want = {k: drawing.WATERLINE for k in cross(water)} | {k: drawing.CANADAIR_BUFFER for k in cross(drop)} | {k: drawing.CANADAIR for k in drop}
+    want |= {k: drawing.HELICOPTER_BUFFER for k in cross(heli)} | {k: drawing.HELICOPTER for k in heli}
+    assert got == want
+    blocked = {(r.r, r.c): r.heavy_t10 for r in drawing.heavy_cells(bc, meta).collect()}
+    assert blocked == {k: 300 for k in cross({(18, c) for c in (2, 3, 4)})}
+    with pytest.raises(Exception, match="must be a LINE"):
+        drawing.moisture_overlays(bc.withColumn("canadair", F.array(F.lit("POINT:1;2"))), meta).collect()

@@ -49,6 +49,7 @@ def test_plans_agree(spark):
     tick, tried = spread.by_tick(f, start(spark))
     group = spread.by_group(f, start(spark))
     assert table(epoch) == table(tick) == table(group) and len(table(epoch)) > 10
+    assert table(spread.by_blocks(f, start(spark), 6)) == table(epoch)
     key = ("rz", "r", "c", "nr", "nc", "k", "t_src", "t_arr")
     assert sorted(tuple(r) for r in tried.select(*key).collect()) == sorted(tuple(r) for r in spread.attempts_of(f, epoch).select(*key).collect())
     for r in epoch.collect():
@@ -58,7 +59,7 @@ def test_plans_agree(spark):
 def test_spotting_agrees(spark):
     f = field(spark, spread.Rules(limit10=200, spotting=True), veg=5)
     epoch = table(spread.by_epoch(f, start(spark, 2)))
-    assert epoch == table(spread.by_group(f, start(spark, 2)))
+    assert epoch == table(spread.by_group(f, start(spark, 2))) == table(spread.by_blocks(f, start(spark, 2), 5))
     plain = table(spread.by_epoch(field(spark, spread.Rules(limit10=200), veg=5), start(spark, 2)))
     assert set(x[:3] for x in plain) <= set(x[:3] for x in epoch)
 
@@ -70,6 +71,14 @@ def test_multiplicity_only_adds(spark):
     assert more.count() >= first.count() > 0
 
 
+def test_one_bucket_beyond_the_limit(spark):
+    f = field(spark, spread.Rules(limit10=30), 9)
+    plain, _ = spread.by_tick(f, start(spark, 2, 9))
+    more, _ = spread.by_tick(f, start(spark, 2, 9), overshoot=True)
+    extra = {r.t_burn for r in more.collect()} - {r.t_burn for r in plain.collect()}
+    assert len(extra) == 1 and min(extra) > 30 and plain.agg({"t_burn": "max"}).first()[0] <= 30
+
+
 def test_one_edge_burns_as_often_as_its_probability(spark):
     f = field(spark, spread.Rules(limit10=spread.NEVER, noise=False), 5, slope=0.0)
     n = 4000
