@@ -53,4 +53,29 @@ def test_stages(spark):
 
 
 def test_run(spark):
-    assert corpus_pipeline.run(spark, DATA).count() > 0
+    """What run() returns is what the stages give one after the other."""
+    pieces = corpus_pipeline.run(spark, DATA).collect()
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, DATA).collect(), docs.schema)
+    encode = packing.Encoder(registry.tokenizer(), special=True)
+    want = collections.Counter((r.doc_id, len(encode.one(r.text or "")) + 1) for r in docs.collect())
+    got = collections.Counter((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0)
+    assert got == want and sum(r.length for r in pieces) == sum(n * k for (_, n), k in want.items())
+
+
+def test_odd_documents(spark):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables pass every stage."""
+    text = " ".join(f"The {a} river runs slowly past the {b} hills, and nobody minds." for a in ("old", "wide", "cold", "quiet") for b in ("green", "far", "blue"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, votes string, _row string, hash string, kept int, _gone int, copies string"
+    rows = [(1, text), (1, text), (2, text), (3, None), (4, ""), (None, text + " Twice."), (None, None), (5, "word " * 50_000), (6, " ".join(sorted(text.split())))]
+    docs = spark.createDataFrame([(i, t, "en" if i != 2 else None, None if i == 1 else "s", None, "v", "r", "h", 1, 2, "c") for i, t in rows], schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, DATA)
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+        found = out.collect()
+        if k < 4:
+            assert out.columns == docs.columns
+            assert {(r.doc_id, r.text) for r in found} <= set(rows)
+        if k == 2:
+            assert sorted(r.doc_id for r in found if r.text == text) == [1]
