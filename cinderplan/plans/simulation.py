@@ -76,7 +76,7 @@ class Simulation:
         side = side or grid_side(self.p.first()["grid_dim_km"])
         left, top = int((e - top_left[0]) // step) - side // 2, int((top_left[1] - n) // step) - side // 2
         self.cells = grids.tile_cells(tiles, z, top, left, side, tile_side, self.settings.tileset)
-        self.meta = GridMeta(top_left[0] + left * step, top_left[1] - top * step, step, step, side, side, z)
+        self.meta = GridMeta(top_left[0] + left * step, top_left[1] - top * step, step, step, side, side, z, box["mid_lat"] < 0)
         return self
 
     def load_cells(self, cells: DataFrame, meta: GridMeta) -> Simulation:
