@@ -1,11 +1,11 @@
 """Quality rules by weak supervision: rules vote or abstain, EM estimates their accuracies, the posterior decides.
 
-Everything is built-in expressions. Documents are read twice and never shuffled; only counts per pattern of votes
-(3 ** number of rules at most) are, and they are what expectation-maximisation runs on, as one SQL expression.
+Everything is built-in expressions. Documents are never shuffled; only counts per pattern of votes (3 ** number of rules at
+most) are, and they are what expectation-maximisation runs on, as one SQL expression.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; an empty table gives an
 empty one; repeated rows are judged alike; other columns of the input pass through ``annotated`` unless they bear a
-name of its results.
+name of its results, or ``_x`` or ``_f`` (``accepted`` returns all columns).
 """
 
 from __future__ import annotations
@@ -150,12 +150,13 @@ def decided(v: DataFrame, fitted: DataFrame) -> DataFrame:
 
 
 def annotated(docs: DataFrame) -> DataFrame:
-    """docs with the columns of OWN."""
-    v = voted(docs)
+    """docs with the columns of OWN. They are counted once: the rows go to the shared folder with them."""
+    v = stored(voted(docs), "voted")
     return decided(v, stored(posteriors(v.select("votes")), "votes"))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their own columns only."""
     packed = docs.select(F.struct("*").alias("_row"), F.col("text"))  # whatever its columns are called
-    return annotated(packed).where("kept").select("_row.*")
+    v = stored(voted(packed).select("_row", "votes", "base_failed"), "voted")
+    return decided(v, stored(posteriors(v.select("votes")), "votes")).where("kept").select("_row.*")
