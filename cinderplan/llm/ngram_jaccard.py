@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderplan.llm.common import components, groups, pieces, small, stored
+from cinderplan.llm.common import components, groups, pieces, release, small, stored
 
 N = 5
 THRESHOLD = 0.8
@@ -75,7 +75,7 @@ def shingles(text: bytes | None, n: int = N) -> np.ndarray:
 
 
 def _signer(n: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, plus = _odd(bands * rows, 1), _odd(bands * rows, 2)
@@ -110,6 +110,7 @@ def _signer(n: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
+                        batch.column("hash"),
                         pa.compute.if_else(none, None, pa.array(keys[:, 0].view(np.int64))),
                         pa.compute.if_else(none, None, pa.array(keys[:, 1].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed.ravel())),
@@ -117,8 +118,9 @@ def _signer(n: int, bands: int, rows: int):
                     ],
                     schema=schema,
                 )
+        release()
 
-    return sign, "doc_id long, k1 long, k2 long, bands array<long>, sig binary"
+    return sign, "doc_id long, hash long, k1 long, k2 long, bands array<long>, sig binary"
 
 
 def _roots(linked: np.ndarray) -> np.ndarray:
@@ -177,6 +179,7 @@ def _set_maker(n: int):
                     [*(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("cid", "root", "copies", "blocks")), pa.array([shingles(texts[i], n).tobytes() for i in rows], pa.binary())],
                     names=["cid", "root", "copies", "blocks", "grams"],
                 )
+        release()
 
     return sets
 
@@ -227,6 +230,7 @@ def _verifier(num: int, den: int):
                 out.append((cid[at], (linked * copies[at][None, :]).sum(1), cid[at][root]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["cid", "links", "parent"])
+        release()
 
     return verify
 
@@ -239,19 +243,15 @@ def _in_cells(df: DataFrame, key: str) -> DataFrame:
     return d.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
 
 
-def similarity_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, ...)``: doc_id, class_id, n_links.
-
-    class_id: the least doc_id of the connected component of links (exact copies included); n_links: how many other
-    documents are linked to this one.
-    """
+def _classified(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: doc_id, hash (of the text), root (of its component of classes; null for rows without links), class_id, n_links."""
     bands, rows = bands_and_rows(threshold, recall, max_hashes)
     hashes = bands * rows
     least = max(1, math.floor(hashes * threshold - SLACK_SIGMAS * math.sqrt(hashes * threshold * (1 - threshold))))
     ratio = round(threshold * 10_000)
     num, den = ratio // math.gcd(ratio, 10_000), 10_000 // math.gcd(ratio, 10_000)
     sign, schema = _signer(n, bands, rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _hash(docs).alias("hash"), F.col("text").cast("string").alias("text"))
 
     signed = stored(texts.mapInArrow(sign, schema), "signed")
     found = signed.where("k1 is not null and doc_id is not null").groupBy("k1", "k2")
@@ -266,25 +266,49 @@ def similarity_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     blocks = rooted.groupBy("root").count().select("root", F.ceil(F.col("count") / block).alias("blocks"))
     wanted = stored(rooted.join(blocks, "root").join(classes.select(F.col("cid").alias("node"), "id", "k1", "k2", "copies"), "node"), "wanted")
     wanted = wanted.select(F.col("id").alias("doc_id"), F.col("node").alias("cid"), "root", "k1", "k2", "copies", "blocks")
-    grams = texts.join(small(wanted), "doc_id").select("text", "cid", "root", "k1", "k2", "copies", "blocks")
+    grams = texts.drop("hash").join(small(wanted), "doc_id").select("text", "cid", "root", "k1", "k2", "copies", "blocks")
     grams = grams.mapInArrow(_set_maker(n), "cid long, root long, copies long, blocks long, grams binary")
     checked = stored(_in_cells(grams, "root").select("root", "lo", "hi", "block", "cid", "copies", "grams").mapInArrow(_verifier(num, den), "cid long, links long, parent long"), "checked")
 
     links = checked.groupBy("cid").agg(F.sum("links").alias("links"))
     final = stored(components(checked.select(F.col("cid").alias("a"), F.col("parent").alias("b"))), "final")
     least_id = classes.select(F.col("cid").alias("node"), "id").join(final, "node").groupBy("root").agg(F.min("id").alias("class_id"))
-    named = final.join(least_id, "root").select(F.col("node").alias("cid"), "class_id")
+    named = final.join(least_id, "root").select(F.col("node").alias("cid"), "root", "class_id")
     known = classes.select("cid", "k1", "k2", "id", "copies").join(named, "cid", "left").join(links, "cid", "left")
-    known = known.select("k1", "k2", F.coalesce("class_id", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    own = signed.select("doc_id", *(F.when(F.col("doc_id").isNotNull(), F.col(k)).alias(k) for k in ("k1", "k2")))
-    return own.join(known, ["k1", "k2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = known.select("k1", "k2", F.coalesce("root", "cid").alias("root"), F.coalesce("class_id", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    own = signed.select("doc_id", "hash", *(F.when(F.col("doc_id").isNotNull(), F.col(k)).alias(k) for k in ("k1", "k2")))
+    return own.join(known, ["k1", "k2"], "left").select("doc_id", "hash", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string"))
+
+
+def similarity_classes(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs(doc_id, text, ...)``: doc_id, class_id, n_links. Options: those of ``_classified``.
+
+    class_id: the least doc_id of the connected component of links (exact copies included); n_links: how many other
+    documents are linked to this one.
+    """
+    return _classified(docs, **options).select("doc_id", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without those whose class has a smaller doc_id: one document of each group stays.
+    """docs with one row of each class: that of the least doc_id, and of its texts in the class the one of least hash.
 
-    Rows with a null doc_id stay; rows that repeat a doc_id stay or go together.
+    Rows without words and rows with a null doc_id stay; of rows that repeat a doc_id and text one stays; other texts under the same
+    doc_id are judged by themselves.
     """
-    gone = stored(similarity_classes(docs, **options).where("class_id <> doc_id").select("doc_id").distinct(), "gone")
-    gone = gone.withColumnRenamed("doc_id", "_gone")
-    return docs.join(small(gone), docs["doc_id"] == gone["_gone"], "left_anti")
+    own = stored(_classified(docs, **options).where("root is not null").select("doc_id", "hash", "root"), "classes")
+    several = own.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("_first"), F.count("*").alias("n")).where("n > 1").select("root", "_first")
+    copies = stored(own.join(several, "root").groupBy("doc_id", "hash", "_first").agg(F.count("*").alias("n")), "copies")
+    first = F.struct("doc_id", "hash") == F.col("_first")
+    named = lambda d: d.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    met = lambda d: (docs["doc_id"].cast("long") == d["_id"]) & (_hash(docs) == d["_hash"])
+    gone, again = named(copies.where(~first)), named(copies.where(first & (F.col("n") > 1)))
+    if not again.limit(1).count():
+        return docs.join(small(gone), met(gone), "left_anti")
+    away = gone.unionAll(again)
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_a"), _hash(docs).alias("_b"))
+    one = packed.join(small(again), (F.col("_a") == F.col("_id")) & (F.col("_b") == F.col("_hash"))).dropDuplicates(["_a", "_b"]).select("_row.*")
+    return docs.join(small(away), met(away), "left_anti").unionByName(one)

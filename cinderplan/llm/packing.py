@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderplan.llm.common import pieces
+from cinderplan.llm.common import pieces, release
 
 LENGTH = 2048
 END_ID = 1
@@ -191,6 +191,8 @@ def _packer(path: str, length: int, block_tokens: int, special: bool):
                         held, tokens = [], 0
         if held:
             yield flush(held)
+            held.clear()
+        release()
 
     return pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
