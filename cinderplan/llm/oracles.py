@@ -66,7 +66,8 @@ def licenses() -> str:
  SELECT doc_id, unnest(range(1, len(l) + 1)), unnest(l) FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) WHERE len(l) > 1),
  w AS (SELECT doc_id, line_no, regexp_extract_all(lower(x), '[a-z0-9]+') AS w FROM u),
  b AS (SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
- m AS (SELECT doc_id, line_no, license, template_no, len(b) AS n_bigrams, len(list_intersect(b, g)) AS n_shared, len(g) AS k FROM b, (VALUES {rows}) t(license, template_no, g))
+ s AS (SELECT *, len(b) AS n_bigrams, len(g) AS k FROM b JOIN (VALUES {rows}) t(license, template_no, g) ON len(b) * {200 - t} >= {t} * len(g) AND len(b) * {t} <= {200 - t} * len(g)),
+ m AS (SELECT *, len(list_intersect(b, g)) AS n_shared FROM s)
 SELECT doc_id, line_no, license, template_no, n_bigrams, n_shared, 2 * n_shared / (n_bigrams + k) AS dice FROM m WHERE 200 * n_shared >= {t} * (n_bigrams + k)"""
 
 
