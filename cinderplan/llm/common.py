@@ -57,11 +57,14 @@ def cleaning(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """As ``stored``, with the path, for tables that ``discard`` deletes before the job's end."""
+def written(df: DataFrame, name: str, blobs: bool = False) -> tuple[DataFrame, str]:
+    """As ``stored``, with the path, for tables that ``discard`` deletes before the job's end.
+
+    blobs: the rows are large and compressed as they are; Parquet's own compression would hold pages of them outside the heap.
+    """
     path = new_folder(df.sparkSession, name)
     with cleaning(df.sparkSession):
-        df.write.parquet(path)
+        (df.write.option("compression", "none") if blobs else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -49,7 +49,9 @@ LEAST = 30
 PSEUDO = 100
 TEXT_BYTES = 4 << 20
 #: Bytes of text in a block of documents, and in what is split into words at once, apart from a single longer text.
-BLOCK_BYTES, PIECE_BYTES = 6 << 20, 1 << 20
+BLOCK_BYTES, PIECE_BYTES = 6 << 20, 1 << 18
+#: Bytes of blobs that go to Spark in a batch, a blob at least.
+BATCH_BYTES = 1 << 20
 #: Characters of a fold's trusted text (or an eighth of the characters of all documents) for each of its shards.
 SHARD_CHARS = 4 << 20
 #: Parts in which documents are judged, one after the other; a multiple of FOLDS.
@@ -264,8 +266,8 @@ def word_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     starts = np.flatnonzero(begins[inside])
     begin = inside[starts]
     end = begin + np.diff(starts, append=len(inside))
-    size = 1 << max(20, int(len(cp)).bit_length())
-    power, back = _powers(size) if size <= 1 << 21 else _powers.__wrapped__(size)
+    size = 1 << max(19, int(len(cp)).bit_length())
+    power, back = _powers(size) if size <= 1 << 19 else _powers.__wrapped__(size)  # workers keep the usual size only
     values = _char_hashes()[np.minimum(cp, 0xFFFF)]
     far = np.flatnonzero(cp > 0xFFFF)
     values[far] = spread(cp[far].astype(np.uint64))
@@ -422,17 +424,25 @@ def _counter(n: int):
             if not len(key):
                 continue
             known, w = ranked(key)
+            del key, table
             known, w = np.concatenate([BOUND, known]), w.astype(np.uint64) + np.uint64(1)  # number 0 is the bound's
             v = after(w, fresh, np.uint64(0))
             u = after(v, fresh, np.uint64(0))
             m = len(known)
             if m**3 < 1 << 64:
                 m = np.uint64(m)
-                grams = np.sort((u * m + v) * m + w)
+                for x in (v, w):
+                    u *= m
+                    u += x
+                grams = u
+                del u, v, w, x
+                grams.sort()
                 first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
                 times = np.diff(first, append=len(grams)).astype(np.uint32)
                 both, w = np.divmod(grams[first], m)
+                del grams, first
                 u, v = np.divmod(both, m)
+                del both
             else:  # a very long text with very many different words
                 order = np.lexsort((w, v, u))
                 u, v, w = u[order], v[order], w[order]
@@ -456,11 +466,24 @@ def _row(kind: str, part: int, blobs: list[bytes], n: np.ndarray | None = None)
     return kind, part, bundle(blobs), *((int((n == k).sum()) for k in (1, 2, 3, 4)) if n is not None else [0] * 4)
 
 
+def _by_bytes(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows that hold a blob, in batches of about ``BATCH_BYTES``, a row at least: Spark holds each batch whole outside its heap."""
+    held, size = [], 0
+    for k, row in enumerate(rows):
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= BATCH_BYTES or k == len(rows) - 1:
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in held], t) for j, t in enumerate(schema.types)], schema=schema)
+            held, size = [], 0
+
+
+ROWS = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("blob", pa.binary()), *((f"n{k}", pa.int64()) for k in (1, 2, 3, 4))])
+BLOBS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())])
+
+
 def _rows(rows: list[tuple]) -> pa.Table:
-    types = [pa.string(), pa.int32(), pa.binary(), *[pa.int64()] * 4]
-    names = ["kind", "part", "blob", "n1", "n2", "n3", "n4"]
     release()
-    return pa.table([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=names)
+    return pa.Table.from_batches(_by_bytes(rows, ROWS), ROWS)
 
 
 def _as_context(n: np.ndarray) -> list[np.ndarray]:
@@ -468,6 +491,13 @@ def _as_context(n: np.ndarray) -> list[np.ndarray]:
     return [n.astype(np.int64), *(x.astype(np.int64) for x in (n == 1, n == 2, n >= 3))]
 
 
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """The parts' columns, each in one; empties the list, so that no more than a column is held twice."""
+    columns = [list(x) for x in zip(*parts, strict=True)]
+    parts.clear()
+    return [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
+
+
 def _trigrams(n: int):
     """A shard's partial counts to its trigrams ("3"), its contexts ("2c"), and what ends in bigrams, by their shards ("end")."""
 
@@ -475,18 +505,23 @@ def _trigrams(n: int):
         parts = []
         for x in own.column("blob"):
             *w, times = unbundle(x.as_py())
-            parts.append((*words_of(w), opened(times, "u4").astype(np.int64)))
-        u, v, w, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
+            parts.append((*words_of(w), opened(times, "u4")))
+        u, v, w, times = _joined(parts)
         uv, vw = pair(u, v), pair(v, w)
         del u
         at = place(uv, n)
         grams = trigram_place(at, uv, vw)
+        del uv
         order, first = grouped(grams)
         one = order[first]  # a row of each trigram
-        total, grams = added(times, order, first), grams[one]
-        rows = [_row("3", key[0].as_py(), [gaps(low(grams)), squeezed(total)], total)]
-        at, vw, v, w = at[one], place(vw[one], n), v[one], w[one]
+        total, grams = added(times.astype(np.int64), order, first), low(grams[one])
+        del times, order
+        rows = [_row("3", key[0].as_py(), [gaps(grams), squeezed(total)], total)]
+        del grams
+        at = at[one]
+        vw = place(vw[one], n)
+        v = v[one]
+        w = w[one]
         order, first = grouped(at)
         rows.append(_row("2c", key[0].as_py(), [gaps(low(at[order[first]])), *(squeezed(added(x, order, first)) for x in _as_context(total))]))
         order, first = grouped(vw)
@@ -509,8 +544,7 @@ def _bigrams(n: int):
         for x in own.column("blob"):
             *w, firsts = unbundle(x.as_py())
             parts.append((*words_of(w), opened(firsts, "i8")))
-        v, w, firsts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
+        v, w, firsts = _joined(parts)
         vw = place(pair(v, w), n)
         order, first = grouped(vw)
         one, total = order[first], added(firsts, order, first)
@@ -543,11 +577,11 @@ class WordModel:
         """trusted: (text) of the fold, without nulls and empty texts."""
         spark, self.shards = trusted.sparkSession, shards
         dealt = trusted.mapInArrow(_counter(shards), "part int, blob binary")
-        three, first = written(dealt.groupBy("part").applyInArrow(_trigrams(shards), GRAMS), "trigrams")
-        two, second = written(three.where("kind = 'end'").groupBy("part").applyInArrow(_bigrams(shards), GRAMS), "bigrams")
+        three, first = written(dealt.groupBy("part").applyInArrow(_trigrams(shards), GRAMS), "trigrams", blobs=True)
+        two, second = written(three.where("kind = 'end'").groupBy("part").applyInArrow(_bigrams(shards), GRAMS), "bigrams", blobs=True)
         one = two.where("kind = 'word'").groupBy("part").applyInArrow(_unigrams, GRAMS)
         # one table of the four kinds that questions are put to; what was handed on goes
-        self.table, self.path = written(three.where("kind in ('3', '2c')").unionAll(two.where("kind = '2'")).unionAll(one).repartition(max(1, shards // 8)), "words")
+        self.table, self.path = written(three.where("kind in ('3', '2c')").unionAll(two.where("kind = '2'")).unionAll(one).repartition(max(1, shards // 8)), "words", blobs=True)
         discard(spark, first)
         discard(spark, second)
         of = {r["kind"]: r for r in self.table.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4"))).collect()}  # four rows
@@ -623,7 +657,7 @@ def _asker(n: int):
             for k in sorted({k for cut in cuts for k in cut}):
                 rows.append((number, k, bundle([gaps(low(x[cut[k]])) if k in cut else b"" for x, cut in zip(asked, cuts, strict=True)])))
             number += 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["block", "part", "blob"])
+            yield from _by_bytes(rows, BLOBS)
         release()
 
     return ask
@@ -634,7 +668,7 @@ def _answerer(cuts: list[tuple[float, float, float]]):
 
     def answer(key: tuple, known: pa.Table, asked: pa.Table) -> pa.Table:
         tables, out = known_values(known, cuts), []
-        for blob in asked.column("blob"):
+        for block, part, blob in zip(*(asked.column(c) for c in BLOBS.names), strict=True):
             blobs = []
             for (keys, values), question in zip(tables, unbundle(blob.as_py()), strict=True):
                 wanted = ungapped(question) if question else np.empty(0, np.uint32)
@@ -644,10 +678,10 @@ def _answerer(cuts: list[tuple[float, float, float]]):
                 got = np.zeros((len(values), len(wanted)), np.uint16)
                 got[:, found] = values[:, at[found]]
                 blobs.append(squeezed(got.ravel()))
-            out.append(bundle(blobs))
+            out.append((block.as_py(), part.as_py(), bundle(blobs)))
         del tables
         release()
-        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "blob": pa.array(out, pa.binary())})
+        return pa.Table.from_batches(_by_bytes(out, BLOBS), BLOBS)
 
     return answer
 
@@ -657,9 +691,10 @@ def _judge(n: int, spelling, total: float, empty: float):
 
     def judge(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
         table = pa.ipc.open_stream(own.column("blob")[0].as_py()).read_all()
-        split = list(_split(table))
-        key, fresh = (np.concatenate([np.empty(0, t), *x]) for t, x in ((np.uint64, (k for _, (_, _, _, k) in split)), (bool, (np.diff(d, prepend=-1) > 0 for _, (_, _, d, _) in split))))
-        uvw, vw, w = (ranked(x)[1] for x in _asked(key, fresh, n))
+        key, fresh = _words(table)
+        asked = _asked(key, fresh, n)
+        del key
+        uvw, vw, w = (ranked(asked.pop(0))[1] for _ in range(3))
         uv, v = after(vw[1:], fresh, vw[0]), after(w[1:], fresh, w[0])
         vw, w = vw[1:], w[1:]
         got: list[list[np.ndarray]] = [[], [], []]
@@ -668,24 +703,25 @@ def _judge(n: int, spelling, total: float, empty: float):
                 got[order].append(opened(x, "u2").reshape(width, -1))
         three, two, one = (np.concatenate([np.zeros((width, 0), np.uint16), *x], 1) for x, width in zip(got, (1, 3, 3), strict=True))
         three, two, one = from_logs(three[0], 0.0), (from_logs(two[0], 0.0), from_logs(two[1], 1.0), from_logs(two[2], 1.0)), (from_logs(one[0], 0.0) / total, from_logs(one[1], 1.0), from_logs(one[2], 1.0))
-        left = two[2][uv] * one[2][v]
-        with np.errstate(divide="ignore"):
-            known = np.log(three[uvw] / two[1][uv] + two[2][uv] * two[0][vw] / one[1][v] + left * one[0][w])
-            left = np.log(left * empty)
+        del got
         logs = np.frombuffer(spelling.value, np.uint8)
         lengths, nll, at = [], [], 0
-        for texts, (begin, end, doc, _) in split:
+        for texts, (begin, end, doc, _) in _split(table):  # split again rather than kept
             code, size = codes(texts, symbol_table())
             sums = np.concatenate([[0.0], np.cumsum(logs[code] / STEPS)])
             spelled = sums[end] - sums[begin]
             s = slice(at, at + len(begin))
+            left = two[2][uv[s]] * one[2][v[s]]
+            with np.errstate(divide="ignore"):
+                known = np.log(three[uvw[s]] / two[1][uv[s]] + two[2][uv[s]] * two[0][vw[s]] / one[1][v[s]] + left * one[0][w[s]])
+                left = np.log(left * empty)
             ends = np.cumsum(size)
             spaces = sums[ends] - sums[ends - size] - np.bincount(doc, spelled, len(texts))
-            nll.append(np.maximum(spaces, 0) - np.bincount(doc, np.logaddexp(known[s], left[s] - spelled), len(texts)))
+            nll.append(np.maximum(spaces, 0) - np.bincount(doc, np.logaddexp(known, left - spelled), len(texts)))
             lengths.append(size)
             at += len(begin)
         columns = {c: table.column(c) for c in ("doc_id", "lang", "hash")}
-        del split, known, left
+        del uvw, uv, vw, v, w, three, two, one
         release()
         return pa.table({**columns, "n_chars": pa.array(np.concatenate(lengths)), "nll": pa.array(np.concatenate(nll))})
 
@@ -702,7 +738,7 @@ def score(docs: DataFrame, of: int, spelled: bytes, words: WordModel, path: str)
     spelling = spark.sparkContext.broadcast(spelled)  # 16 MB, however large the corpus
     for wave in range(WAVES // FOLDS):
         mine = d.where((fold() == of) & (F.pmod(F.xxhash64("doc_id", "hash"), F.lit(WAVES // FOLDS)) == wave))
-        asked, own = written(mine.mapInArrow(_asker(words.shards), "block long, part int, blob binary"), "asked")
+        asked, own = written(mine.mapInArrow(_asker(words.shards), "block long, part int, blob binary"), "asked", blobs=True)
         answers = words.table.groupBy("part").cogroup(asked.where("part >= 0").groupBy("part")).applyInArrow(_answerer(words.cuts), "block long, part int, blob binary")
         s = asked.where("part < 0").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_judge(words.shards, spelling, words.total, words.rest), SCORED)
         with cleaning(spark):
